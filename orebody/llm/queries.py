@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import flac
+from orebody.llm import flac, packing, tokens
 from orebody.llm.common import table
 
 
@@ -14,8 +14,24 @@ def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.dataset_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
+    "op6_vector_packing": op6_vector_packing,
+    "op8_token_files": op8_token_files,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
