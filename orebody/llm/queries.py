@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import flac, packing, tokens
+from orebody.llm import flac, packing, rules, tokens
 from orebody.llm.common import table
 
 
@@ -28,10 +28,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.dataset_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
     "op6_vector_packing": op6_vector_packing,
     "op8_token_files": op8_token_files,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
