@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 #: The white space of the word definition used by every contract: \x20 and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -8,12 +8,14 @@ given to the library once; any other text inside a piece is the library's own af
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from orebody.llm.common import prefix_hash, span_hash
 
 #: Pieces a worker remembers before it begins anew, and ids of these pieces.
-PIECES, IDS = 1 << 21, 1 << 24
+PIECES, IDS = 3 << 18, 1 << 23
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -26,6 +28,7 @@ _SIGN[39] = False
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -96,7 +99,7 @@ class Encoder:
 
     def _learn(self, key: np.ndarray, texts: list[str]) -> None:
         """Ask the library for pieces with different, unknown keys."""
-        encoded = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        encoded = [x.ids for a in range(0, len(texts), 4096) for x in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in encoded], np.int32)
         total = int(size.sum())
         flat = np.fromiter((i for x in encoded for i in x), np.uint32, total)
