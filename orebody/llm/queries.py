@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import flac, packing, rules, tokens
+from orebody.llm import flac, mixing, packing, rules, tokens
 from orebody.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), block=256, weights=(5, 2, 1), share=1.5, most=2)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.dataset_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -35,6 +39,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
     "op6_vector_packing": op6_vector_packing,
+    "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
