@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import flac, mixing, packing, rules, tokens
+from orebody.llm import flac, mixing, packing, rules, tokens, toxicity
 from orebody.llm.common import table
 
 
@@ -20,6 +20,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
 
@@ -38,6 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
+    "op5_sentence_toxicity": op5_sentence_toxicity,
     "op6_vector_packing": op6_vector_packing,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
