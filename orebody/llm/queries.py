@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import flac, mixing, packing, rules, tokens, toxicity
+from orebody.llm import convnet, flac, mixing, packing, rules, tokens, toxicity
 from orebody.llm.common import table
 
 
+def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return convnet.score(docs, convnet.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_convnet": op1_byte_convnet,
     "op2_flac_media": op2_flac_media,
     "op5_sentence_toxicity": op5_sentence_toxicity,
     "op6_vector_packing": op6_vector_packing,
