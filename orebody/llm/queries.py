@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import convnet, flac, mixing, packing, rules, tokens, toxicity
+from orebody.llm import convnet, flac, mixing, packing, rules, tokens, toxicity, transducer
 from orebody.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_flac_media": op2_flac_media,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_transducer_counts": op10_transducer_counts,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
