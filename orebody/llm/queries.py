@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import convnet, flac, mixing, packing, rules, tokens, toxicity, transducer
+from orebody.llm import convnet, flac, mixing, packing, pages, rules, tokens, toxicity, transducer
 from orebody.llm.common import table
 
 
@@ -25,6 +25,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_flac_media": op2_flac_media,
+    "op3_crf_main_text": op3_crf_main_text,
     "op5_sentence_toxicity": op5_sentence_toxicity,
     "op6_vector_packing": op6_vector_packing,
     "op7_source_mixing": op7_source_mixing,
