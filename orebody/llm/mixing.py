@@ -24,14 +24,13 @@ from orebody.llm.common import SPACE_CLASS, materialize
 BLANKS = " \t\n\x0b\x0c\r"
 #: Fixed values of the pseudorandom bits: a prime modulus and two multipliers of linear congruential generators.
 PRIME, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
-ROUNDS = 32
+ROUNDS = 24
 #: Slots that one exploded row makes, and documents (by id) whose running sum one window makes.
 CHUNK, BUCKET = 4096, 1024
 
 
 def _scatter(x: Column) -> Column:
-    y = x.cast("long") % PRIME * FIRST % PRIME
-    return (y + F.shiftright(y, 16)) * SECOND % PRIME
+    return x.cast("long") % PRIME * FIRST % PRIME * SECOND % PRIME
 
 
 def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
@@ -41,7 +40,7 @@ def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Colum
         key = _scatter(seed * ROUNDS + i)
         partner = (key % n - x + n) % n  # both are below n
         high = F.greatest(x, partner)
-        return F.when(F.shiftright(_scatter(_scatter(key + high) + high), 13) % 2 == 1, partner).otherwise(x)
+        return F.when(F.shiftright(_scatter(key + high), 13) % 2 == 1, partner).otherwise(x)
 
     order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(order, x.cast("long"), trade)
@@ -148,7 +147,8 @@ def taken(docs: DataFrame, text: str = "text", block: int = 256, seed: int = 7,
     rows = materialize(docs.select(c("doc_id").cast("long").alias("doc_id"), c("source").cast("string").alias("source"), n_words(c(text)).alias("size")), "sizes")
     rows, sources = placed(rows, **how)
     got = slots(sources, block, seed).select(c("sid").alias("s"), c("idx").alias("i"), c("words"))
-    pieces = _pieces(rows, block).join(got, (c("sid") == c("s")) & (c("idx") == c("i")), "left")
+    # Merge: the slots grow with the corpus, which their estimated size does not show.
+    pieces = _pieces(rows, block).join(got.hint("merge"), (c("sid") == c("s")) & (c("idx") == c("i")), "left")
     share = F.when(c("words").isNull(), F.lit(0)).otherwise(F.greatest(F.least(c("b"), c("words")) - c("a"), F.lit(0)))
     pieces = pieces.groupBy("sid", "bucket", "row", "doc_id", "size", "source_size", "target").agg(F.sum(share).cast("long").alias("taken"))
     return pieces.select("doc_id", "size", "source_size", "target", "taken")
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, text: str = "text", block: int = 256, seed: int = 7, sh
     pieces = _pieces(rows, block)
     pieces = pieces.select("own", "sid", "idx", "a", F.slice("parts", (c("idx") * block + c("a") - c("start") + 1).cast("int"), (c("b") - c("a")).cast("int")).alias("parts"))
     got = slots(sources, block, seed, shard).select("shard", "slot", c("sid").alias("s"), c("idx").alias("i"), "words")
-    both = pieces.join(got, (c("sid") == c("s")) & (c("idx") == c("i")) & (c("words") > c("a")))
+    both = pieces.join(got.hint("merge"), (c("sid") == c("s")) & (c("idx") == c("i")) & (c("words") > c("a")))
     body = F.rtrim(F.array_join(F.slice("parts", F.lit(1), F.least(F.size("parts").cast("long"), c("words") - c("a")).cast("int")), ""))
     both = both.withColumn("body", body)
     out = [c("body").alias(x) if x == text else F.length("body").cast("long").alias(x) if x == "n_chars" else c(f"own.`{x}`") for x in names]
