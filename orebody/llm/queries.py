@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orebody.llm import convnet, flac, mixing, packing, pages, rules, tokens, toxicity, transducer
+from orebody.llm import convnet, flac, mixing, ngrams, packing, pages, rules, tokens, toxicity, transducer
 from orebody.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_convnet": op1_byte_convnet,
     "op2_flac_media": op2_flac_media,
     "op3_crf_main_text": op3_crf_main_text,
+    "op4_partenum_jaccard": op4_partenum_jaccard,
     "op5_sentence_toxicity": op5_sentence_toxicity,
     "op6_vector_packing": op6_vector_packing,
     "op7_source_mixing": op7_source_mixing,
