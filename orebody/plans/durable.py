@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    """A temporary folder that goes with this process."""
+    path = tempfile.mkdtemp(prefix="orebody-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where nothing is configured (local tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where nothing is configured (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else os.path.join(tempfile.gettempdir(), f"orebody-{os.getpid()}")
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else _own_dir()
     return found
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet and read back; cuts the lineage of loops."""
+    """df written as Parquet and read back; cuts lineage, and nothing of it is on one executor alone."""
     path = f"{shared_dir(df.sparkSession)}/orebody/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -210,7 +210,8 @@ _upto3 = f"{_pairs} SELECT * FROM ({_one}) UNION ALL SELECT * FROM ({_two}) UNIO
 def freq_itemsets_fpgrowth(spark, d):
     pairs = views.basket_pairs(spark, d)
     rows = itemsets.baskets(pairs, "key", "item")
-    return _named(itemsets.fp_growth(rows, _support(pairs, PAIR_SHARE), rows.count()))
+    found = itemsets.fp_growth(rows, _support(pairs, PAIR_SHARE), rows.count())
+    return _named(found.where(F.size("itemset") <= 3))
 
 
 @query(_upto3)
@@ -336,7 +337,7 @@ def features_left(spark, d):
 _train = views.with_sql("reviews", "asked")
 
 
-@query(f"{_train}, m AS (SELECT user_id, avg(stars) AS mean FROM reviews GROUP BY user_id) SELECT user_id, business_id, round(coalesce(least(greatest(mean, 1), 5), {recommend.UNKNOWN}), 6) AS prediction FROM asked LEFT JOIN m USING (user_id)")
+@query(f"{_train}, m AS (SELECT user_id, avg(stars) AS mean FROM reviews GROUP BY user_id) SELECT user_id, business_id, round(CASE WHEN mean IS NULL THEN {recommend.UNKNOWN} ELSE least(greatest(mean, 1), 5) END, 6) AS prediction FROM asked LEFT JOIN m USING (user_id)")
 def cf_user_mean(spark, d):
     return recommend.predict_user_mean(views.reviews(spark, d), views.asked_pairs(spark, d))
 
@@ -349,7 +350,7 @@ def cf_user_mean(spark, d):
     w AS (SELECT business_id, other, round(xy / sqrt(xx * yy), 6) AS w FROM s WHERE xx > 0 AND yy > 0),
     near AS (SELECT user_id, business_id, dev, w, row_number() OVER (PARTITION BY user_id, business_id ORDER BY w DESC, other) AS r FROM wanted JOIN w USING (business_id, other)),
     shift AS (SELECT user_id, business_id, sum(w * dev) / sum(abs(w)) AS shift FROM near WHERE r <= 15 GROUP BY ALL)
-    SELECT user_id, business_id, round(coalesce(least(greatest(mean + coalesce(shift, 0), 1), 5), {recommend.UNKNOWN}), 4) AS prediction FROM asked LEFT JOIN m USING (user_id) LEFT JOIN shift USING (user_id, business_id)""")
+    SELECT user_id, business_id, round(CASE WHEN mean IS NULL THEN {recommend.UNKNOWN} ELSE least(greatest(mean + coalesce(shift, 0), 1), 5) END, 4) AS prediction FROM asked LEFT JOIN m USING (user_id) LEFT JOIN shift USING (user_id, business_id)""")
 def cf_item_based(spark, d):
     return recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
 

@@ -6,28 +6,27 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 COMPLIMENTS = ["hot", "more", "profile", "cute", "list", "note", "plain", "cool", "funny", "writer", "photos"]
 
-REVIEW = T.StructType.fromDDL("user_id string, business_id string, stars double, date string")
-BUSINESS_CITY = T.StructType.fromDDL("business_id string, city string")
-BUSINESS = T.StructType.fromDDL("business_id string, stars double, review_count bigint, attributes map<string,string>")
-USER = T.StructType.fromDDL("user_id string, average_stars double, review_count bigint, useful bigint, funny bigint, cool bigint, fans bigint, elite string, " + ", ".join(f"compliment_{c} bigint" for c in COMPLIMENTS))
-RATING = T.StructType.fromDDL("user_id string, business_id string, stars string")
-PAIR = T.StructType.fromDDL("user_id string, business_id string")
-TRANSACTION = T.StructType.fromDDL("date string, customer string, c2 string, c3 string, c4 string, product string")
+REVIEW = "user_id string, business_id string, stars double, date string"
+BUSINESS_CITY = "business_id string, city string"
+BUSINESS = "business_id string, stars double, review_count bigint, attributes map<string,string>"
+USER = "user_id string, average_stars double, review_count bigint, useful bigint, funny bigint, cool bigint, fans bigint, elite string, " + ", ".join(f"compliment_{c} bigint" for c in COMPLIMENTS)
+RATING = "user_id string, business_id string, stars string"
+PAIR = "user_id string, business_id string"
+TRANSACTION = "date string, customer string, c2 string, c3 string, c4 string, product string"
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, required: Iterable[str] = ()) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, required: Iterable[str] = ()) -> DataFrame:
     """JSON lines; malformed lines fail the read, and so does a row without one of the required fields."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     for name in required:
-        df = df.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit(f"missing field {name}")).cast(schema[name].dataType)))
+        df = df.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit(f"missing field {name}")).cast(df.schema[name].dataType)))
     return df
 
 
-def csv_rows(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Comma-separated rows by position; quoted fields are understood."""
     return spark.read.schema(schema).option("header", header).option("enforceSchema", True).csv(path)
 
