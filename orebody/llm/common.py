@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebody.plans.durable import durable, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
 
@@ -32,23 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is configured (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"orebody-checkpoints-{os.getpid()}")
-    return found
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once under the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orebody/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialize = durable
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
