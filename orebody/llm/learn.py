@@ -45,4 +45,5 @@ def fit(rows: DataFrame, train: Callable[[list[bytes], np.ndarray], Any]) -> Any
         model = train([(x[1] or "").encode() for x in got], np.array([x[2] for x in got], np.float64))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], np.zeros(0))

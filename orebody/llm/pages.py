@@ -157,7 +157,7 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
 
 def text_features(text: str, linked: int, place: int, total: int) -> list[float]:
     n = text.count(" ") + 1
-    return [min(np.log1p(n), 6.0) / 3, float(n <= 3), float(n >= 25), linked / len(text), float(linked >= 0.9 * len(text)), float(text[-1] in ".!?:;\"'”»…"), min(1.0, text.count(",") / n * 5), float("©" in text or "®" in text or "|" in text[:40]), float(place == 0), float(place == total - 1), float(total == 1)]
+    return [min(np.log1p(n), 6.0) / 3, float(n <= 3), float(n >= 25), linked / len(text), float(linked >= 0.9 * len(text)), float(text[-1] in ".!?:;\"'”»…"), min(1.0, text.count(",") / n * 5), float("©" in text or "®" in text or "|" in text[:40]), float(place == 0 < total - 1), float(place == total - 1 > 0), float(total == 1)]
 
 
 def matrix(found: list[Block]) -> np.ndarray:
@@ -336,7 +336,9 @@ def labelled_pages(count: int = 420, seed: int = 3) -> list[tuple[str, dict[str,
             inner += comments()
         top = [part() for part in (header, nav, notice, advert, form, side) if rng.random() < 0.4]
         below = [part() for part in (comments, related, side, advert, form, notice, nav) if rng.random() < 0.25]
-        page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(top) + shell.format(inner) + "".join(below) + (footer() if rng.random() < 0.85 else "") + pick("</body></html>", "")
+        if rng.random() < 0.1:  # nothing but content
+            top, below, inner = [], [], pick(inner, block("p", prose(3, 60), 1))
+        page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(top) + shell.format(inner) + "".join(below) + (footer() if rng.random() < 0.85 and (top or below) else "") + pick("</body></html>", "")
         pages.append((page, label))
     return pages
 
