@@ -149,7 +149,7 @@ def modularity(components: DataFrame, edges: DataFrame, remaining: DataFrame | N
     """Modularity of the components (id, component) of a graph with these edges.
 
     remaining: the edges that count as present; then every one lies within a component. By default those of the
-    graph whose ends share a component.
+    graph whose ends share a component. Null without edges.
     """
     c = F.col
     m = edges.agg(F.count("*").alias("m"))
@@ -161,7 +161,8 @@ def modularity(components: DataFrame, edges: DataFrame, remaining: DataFrame | N
     weight = components.join(degree(edges), "id", "left").groupBy("component").agg(F.sum(F.coalesce("degree", F.lit(0))).alias("d"))
     squares = weight.agg(F.sum(c("d") * c("d")).alias("squares"))
     one = m.withColumn("k", F.lit(1)).join(inside.withColumn("k", F.lit(1)), "k").join(squares.withColumn("k", F.lit(1)), "k")
-    return one.select(F.round(c("inside") / c("m") - c("squares") / (4 * c("m") * c("m")), 9).alias("modularity"))
+    share = F.try_divide(c("inside"), c("m")) - F.try_divide(c("squares"), 4 * c("m") * c("m"))
+    return one.select(F.round(share, 9).alias("modularity"))
 
 
 def girvan_newman(edges: DataFrame, rounds: int = 1000, adjacency: str = "remaining") -> DataFrame:
@@ -184,4 +185,6 @@ def girvan_newman(edges: DataFrame, rounds: int = 1000, adjacency: str = "remain
         left = durable(left.join(gone, ["src", "dst"], "left_anti"), "graph")
         if left.isEmpty():
             break
+    if best is None:  # no edges
+        return connected_components(start, ids).withColumn("modularity", F.lit(None).cast("double"))
     return best.withColumn("modularity", F.lit(best_q))

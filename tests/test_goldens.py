@@ -65,6 +65,9 @@ def test_empty_graph(spark):
     assert rows(graph.connected_components(none)) == []
     assert rows(graph.edge_betweenness(none)) == []
     assert rows(graph.label_propagation(none)) == []
+    assert rows(graph.modularity(graph.connected_components(none), none)) == [(None,)]
+    assert rows(graph.girvan_newman(none)) == []
+    assert rows(graph.bfs_depths(none, 1)) == []
 
 
 BASKETS = [(1, "1"), (1, "2"), (1, "3"), (2, "1"), (2, "2"), (3, "2"), (3, "3"), (4, "1"), (4, "3")]
