@@ -175,3 +175,36 @@ def mix(docs: DataFrame, text: str = "text", block: int = 256, seed: int = 7, sh
     both = both.withColumn("body", body)
     out = [c("body").alias(x) if x == text else F.length("body").cast("long").alias(x) if x == "n_chars" else c(f"own.`{x}`") for x in names]
     return both.select("shard", "slot", "a", *out)
+
+
+def sql(block: int = 256, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> str:
+    """taken() in DuckDB SQL."""
+
+    def scatter(x: str) -> str:
+        return f"(({x}) % {PRIME} * {FIRST} % {PRIME} * {SECOND} % {PRIME})"
+
+    def permuted_sql(x: str, n: str, s: str, inverse: bool = False) -> str:
+        order = f"range({ROUNDS - 1}, -1, -1)" if inverse else f"range({ROUNDS})"
+        partner = f"(({scatter(f'({s}) * {ROUNDS} + i')} % {n} - x + {n}) % {n})"
+        bit = f"(({scatter(f'{scatter(f"({s}) * {ROUNDS} + i")} + greatest(x, {partner})')} >> 13) % 2)"
+        return f"list_reduce({order}, lambda x, i: CASE WHEN {bit} = 1 THEN {partner} ELSE x END, CAST({x} AS BIGINT))"
+
+    weight = "CASE (sid % {}) {} END".format(len(weights), " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)))
+    return rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    p AS (SELECT *, row_number() OVER () AS r, sum(size) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+    s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s0), s2 AS (SELECT *, {weight} AS weight, source_size * {most} AS cap FROM s1),
+    s3 AS (SELECT *, (CAST((SELECT sum(source_size) FROM s2) AS DOUBLE) * {share} - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+    s4 AS (SELECT source, source_size, sid, CASE WHEN cap <= weight * level THEN CAST(cap AS DOUBLE) ELSE weight * (SELECT max(level) FROM s3 WHERE cap > weight * level) END AS target FROM s3),
+    q0 AS (SELECT *, CAST(ceil(source_size / {block}) AS BIGINT) AS blocks, CAST(floor(target) AS BIGINT) AS words FROM s4 WHERE source_size > 0),
+    q1 AS (SELECT *, words // source_size AS epochs, words % source_size AS rest, source_size - (blocks - 1) * {block} AS short FROM q0),
+    t AS (SELECT sid, blocks, short, rest, source_size, unnest(range(epochs + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch, epochs FROM q1),
+    j AS (SELECT *, unnest(range(blocks)) AS j FROM t), k AS (SELECT *, {permuted_sql("j", "blocks", f"{seed} * 1009 + sid * 31 + epoch")} AS idx FROM j),
+    l AS (SELECT *, CASE WHEN idx = blocks - 1 THEN short ELSE {block} END AS len FROM k),
+    m AS (SELECT *, sum(len) OVER (PARTITION BY sid, epoch ORDER BY j ROWS UNBOUNDED PRECEDING) - len AS before FROM l),
+    n AS (SELECT sid, idx, CASE WHEN epoch < epochs THEN len ELSE greatest(0, least(len, rest - before)) END AS words FROM m),
+    o AS (SELECT p.r, n.idx, n.words, greatest(p.start - n.idx * {block}, 0) AS a, least(p.start + p.size - n.idx * {block}, {block}) AS b FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source
+        JOIN n ON n.sid = s4.sid AND n.idx >= p.start // {block} AND n.idx <= (p.start + p.size - 1) // {block} WHERE p.size > 0),
+    u AS (SELECT r, sum(greatest(least(b, words) - a, 0)) AS taken FROM o GROUP BY r)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source LEFT JOIN u USING (r)"""

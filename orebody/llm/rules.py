@@ -161,3 +161,45 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     voted = model.vote(rows)
     model.fit(voted)
     return voted.where(~F.expr(BASE_FAILED) & (model.posterior() >= threshold)).select("key.*")
+
+
+def sql(iterations: int = ITERATIONS) -> str:
+    """judge() in DuckDB SQL: the same counts, rules and EM steps, a common table expression for each step."""
+    tests = [f"{condition} AS v_{name}" for name, condition in RULES.items()]
+    votes = [f"v_{name}" for name in RULES]
+    space = r"[\x20\x09-\x0D]+"
+    symbols = "[" + re.escape(SYMBOLS) + "]"
+    parts = [
+        f"""d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+        p AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+        g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+        h AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM g WHERE n > 1) GROUP BY r),
+        c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{symbols}')) AS BIGINT) AS n_symbols,
+            CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+            CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_doubled, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_shouts, CAST(len(regexp_extract_all(t, '[A-Z]{{3,}}')) AS BIGINT) AS n_capitals
+            FROM w LEFT JOIN h USING (r)),
+        v AS MATERIALIZED (SELECT *, {", ".join(tests)} FROM c),
+        q AS MATERIALIZED (SELECT {", ".join(votes)}, count(*) AS n FROM v GROUP BY ALL)"""
+    ]
+    start = [f"{START['prior']}::DOUBLE AS prior"] + [f"{START[k]}::DOUBLE AS {k}_{r}" for r in RULES for k in ("g1", "g0", "b1", "b0")]
+    parts.append(f"m0 AS (SELECT {', '.join(start)})")
+
+    def posterior() -> str:
+        def chance(c: str) -> str:
+            return " * ".join(f"CASE v_{r} WHEN 1 THEN {c}1_{r} WHEN 0 THEN {c}0_{r} ELSE 1 - {c}1_{r} - {c}0_{r} END" for r in RULES)
+
+        return f"(prior * {chance('g')}) / (prior * {chance('g')} + (1 - prior) * {chance('b')})"
+
+    for k in range(iterations):
+        sums = ["sum(n) AS a", "sum(n * p) AS g"]
+        for r in RULES:
+            for y in (1, 0):
+                sums += [f"coalesce(sum(n * p) FILTER (v_{r} = {y}), 0) AS s{y}_{r}", f"coalesce(sum(n) FILTER (v_{r} = {y}), 0) AS t{y}_{r}"]
+        rates = ["least(0.99, greatest(0.01, (g + 1) / (a + 2))) AS prior"]
+        for r in RULES:
+            rates += [f"(s{y}_{r} + 1) / (g + 3) AS g{y}_{r}, (t{y}_{r} - s{y}_{r} + 1) / (a - g + 3) AS b{y}_{r}" for y in (1, 0)]
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(rates)} FROM (SELECT {', '.join(sums)} FROM (SELECT q.*, {posterior()} AS p FROM q, m{k})))")
+    failed = f"({BASE_FAILED})"
+    out = f"SELECT doc_id, {', '.join(COUNTS)}, {failed} AS base_failed, NOT {failed} AND {posterior()} >= 0.5 AS kept, round({posterior()}, 6) AS posterior FROM v, m{iterations}"
+    return "WITH " + ", ".join(parts) + " " + out
