@@ -2,14 +2,15 @@
 
 Texts with equal shingle sets are one node. The sets are put in bands of similar size, the domain of shingle hashes
 is partitioned for each band, and a set's signatures are the hashes of its elements in each partition: linked sets
-agree in some partition. Signatures meet in buckets; the nodes under one signature are a run. Candidates are proved
-unlinked by sketches (a bit for each element's hash: more bits differ than a link allows) or compared exactly, on
-the shingles of their whole texts.
-
-No run's pairs are all written out. First each node is compared with its run's least node; the links found make
-components. A run that lies in one component is done; in the others, sketches of nodes of different components are
-compared in blocks, and the pairs that they don't rule out are compared exactly. So no link between components is
-lost, and a large group of near copies costs about as many comparisons as it has nodes.
+agree in some partition. Signatures meet in buckets; the nodes under one signature are a run.
+
+A node of a link shares many signatures with its partner: all its filled partitions but those in which the two may
+differ. Nodes that share fewer signatures with anything have no link and leave. Within the runs of the others,
+sketches (a bit for each element's hash) rule out pairs that differ in more bits than linked sets can
+differ in elements. What they leave connects nodes to clusters, of which each run reports a spanning forest only.
+Every link lies in a cluster. A cluster's whole texts come together once, in blocks, and all its pairs are compared
+exactly there, as products of block matrices; the links, again as forests, make the components. No list of a
+group's pairs is ever written, and none is dropped.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from orebody.llm.common import lower, materialize, mix64, prefix_hash, ship, spa
 LENGTH, PART, WHOLE = 5, 75, 100
 #: Size bands: band c has sets of BAND**c to BAND**(c + 1) - 1 shingles.
 BAND = 2
-#: Entries that a task gathers before it sends them to their buckets; buckets a shuffle partition; nodes a block when a
-#: run's sketches are compared; members that one task compares with a leader; rows that may be broadcast.
-FLUSH, BUCKETS, BLOCK, SHARE, SMALL = 1 << 21, 8, 1024, 256, 200_000
+#: Entries that a task gathers before it sends them to their buckets; nodes of a run, nodes and shingles of a cluster in
+#: a block; elements a matrix product takes at a time; rows that may be broadcast; tasks for the runs of one leader.
+FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL, DEALT = 1 << 20, 1024, 512, 300_000, 8192, 200_000, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +72,32 @@ def bands(size: np.ndarray) -> list[np.ndarray]:
 def partitions(band: np.ndarray) -> np.ndarray:
     """First-level partitions of a band: more than the differences that two linked sets of it can have."""
     most = BAND ** (band + 1) - 1
-    return np.maximum(2 * (WHOLE - PART) * most // (WHOLE + PART) + 1, np.ceil(0.4 * most).astype(np.int64) + 1)
+    return np.maximum(2 * (WHOLE - PART) * most // (WHOLE + PART) + 1, np.ceil(0.5 * most).astype(np.int64) + 1)
+
+
+def _tagged(sig: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """The signature with the band's parity as its lowest bit: it tells a set's two bands apart."""
+    return sig & ~np.uint64(1) | (np.asarray(band) & 1).astype(np.uint64)
+
+
+def shared_at_least(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, by the parity of the band: the signatures that it shares with any linked set, at least.
+
+    Of its filled partitions only so many can differ as elements can; 1 where empty partitions have signatures too.
+    """
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.ones((len(size), 2), np.int64)
+    for band in bands(size):
+        take = (band >= 0) & (size > 0)
+        n = np.where(take, partitions(np.maximum(band, 0)), 1)
+        p = (hashes >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)
+        key = row.astype(np.uint64) << np.uint64(40) | p
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        filled = np.bincount(row[first], minlength=len(size))
+        some = np.flatnonzero(take)
+        out[some, band[some] & 1] = np.maximum(1, filled - size * (WHOLE - PART) // PART)[some]
+    return out
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +123,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         total = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), begin)
         salt = mix64(p[begin] + band[r[begin]].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        out.append(mix64(total + salt))
+        out.append(_tagged(mix64(total + salt), band[r[begin]]))
         rows.append(r[begin])
         filled = np.bincount(r[begin], minlength=len(size))
         # At most size * (1/t - 1) elements differ: the partner's size and the threshold bound them.
@@ -105,7 +131,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         for i in few.tolist():
             present = p[begin][r[begin] == i]
             missing = np.setdiff1d(np.arange(int(n[i]), dtype=np.uint64), present)
-            out.append(mix64(mix64(missing + np.uint64(int(band[i]) * 0x2545F4914F6CDD1D % (1 << 64)))))
+            out.append(_tagged(mix64(mix64(missing + np.uint64(int(band[i]) * 0x2545F4914F6CDD1D % (1 << 64)))), band[i]))
             rows.append(np.full(len(missing), i))
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -122,8 +148,11 @@ def node_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _bits(size: int) -> int:
-    """Bits of a sketch: two to four for each element."""
-    return max(64, 1 << (int(size).bit_length() + 1))
+    """Bits of a sketch: at least one for each element of any set that it is compared with in one run.
+
+    A set that takes part in the next band has the bits of that band's sets.
+    """
+    return max(64, 1 << (int(size) * WHOLE // PART).bit_length())
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -165,21 +194,30 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _describe(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and sketch of each row."""
+    """doc_id, n_shingles, node (null without words), sketch, and need: signatures to share in even and odd bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             h, o = shingles(*utf8(batch.column(1)), length)
             n, node = np.diff(o), node_ids(h, o)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches(h, o), pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+            need = shared_at_least(h, o)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches(h, o), pa.binary()), pa.array(need[:, 0]), pa.array(need[:, 1])], ["doc_id", "n_shingles", "node", "sketch", "need_0", "need_1"])
+
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, need_0 long, need_1 long")
+
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+def _partition_keys(rows: DataFrame, parts: int) -> list[int]:
+    """A number for each partition that hash partitioning sends there, so that buckets fill partitions evenly."""
+    ids = rows.sparkSession.range(32 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id"))
+    return [x["id"] for x in ids.orderBy("part").collect()]  # `parts` rows
 
 
 def _runs(rows: DataFrame, length: int) -> DataFrame:
-    """The nodes under one signature, ascending, for all signatures of two nodes at least; equal runs are one."""
+    """The nodes under one signature, ascending, for all signatures of two nodes at least, the parity of the band, and
+    for how many signatures: equal runs are one."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * BUCKETS
+    keys = _partition_keys(rows, parts)
+    buckets = len(keys)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -187,7 +225,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             sig, row = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             low, row, bucket = sig[order].astype(np.uint32), row[order], bucket[order]
             ids = np.fromiter(seen, np.int64, len(seen))
@@ -195,12 +233,12 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for a, b in zip(which.tolist(), np.append(which[1:], len(bucket)).tolist(), strict=True):
                 used, at = np.unique(row[a:b], return_inverse=True)
-                for column, value in zip(out, (int(bucket[a]), low[a:b].tobytes(), at.astype(np.uint16).tobytes(), ids[used].tobytes()), strict=True):
+                for column, value in zip(out, (keys[int(bucket[a])], low[a:b].tobytes(), at.astype(np.uint16).tobytes(), ids[used].tobytes()), strict=True):
                     column.append(value)
             held.clear()
             seen.clear()
-            for a in range(0, len(out[0]), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 256], pa.int64()), *(pa.array(x[a : a + 256], pa.binary()) for x in out[1:])], ["bucket", "low", "at", "ids"])
+            for a in range(0, len(out[0]), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 64], pa.int64()), *(pa.array(x[a : a + 64], pa.binary()) for x in out[1:])], ["bucket", "low", "at", "ids"])
 
         for batch in steps(batches):
             h, o = shingles(*utf8(batch.column(1)), length)
@@ -212,7 +250,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             sig, row = signatures(h[inside], np.concatenate([[0], np.cumsum(size[keep])]))
             place = np.array([seen[x] for x in node[keep].tolist()], np.int64)
             if len(sig):
-                held.append((sig, place[row]))
+                held.append((sig, place[row].astype(np.uint16)))
             if sum(len(x) for x, _ in held) > FLUSH or len(seen) > 60_000:
                 yield from flush()
         if held:
@@ -223,7 +261,6 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for bucket, low, at, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 got.setdefault(bucket, []).append((np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64)[np.frombuffer(at, np.uint16)]))
-        known: set[bytes] = set()
         for bucket in list(got):
             found = got.pop(bucket)
             sig, node = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
@@ -233,139 +270,183 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             same[1:] = sig[1:] == sig[:-1]
             same[:-1] |= same[1:].copy()
             sig, node = sig[same], node[same]
+            if not len(sig):
+                continue
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             first = np.ones(len(sig), bool)
             first[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
             sig, node = sig[first], node[first]
-            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            out = []
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            out: dict[bytes, list] = {}  # equal runs are one, with the number of their signatures
             for a, b in zip(begin.tolist(), np.append(begin[1:], len(sig)).tolist(), strict=True):
                 if b - a > 1:
                     run = node[a:b]
-                    key = run.tobytes() if b - a <= 16 else hash(run.tobytes()).to_bytes(9, "big", signed=True)
-                    if key not in known:
-                        known.add(key)
-                        out.append(run)
-            for a in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(out[a : a + 4096], pa.list_(pa.int64()))], ["nodes"])
+                    out.setdefault(run.tobytes() + bytes([int(sig[a]) & 1]), [run, int(sig[a]) & 1, 0])[2] += 1
+            rows = list(out.values())
+            for a in range(0, len(rows), 4096):
+                cut = rows[a : a + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cut], pa.list_(pa.int64())), pa.array([x[1] for x in cut], pa.int32()), pa.array([x[2] for x in cut], pa.int64())], ["nodes", "parity", "times"])
 
     sent = rows.mapInArrow(send, "bucket long, low binary, at binary, ids binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "nodes array<long>").distinct()
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "nodes array<long>, parity int, times long").groupBy("nodes", "parity").agg(F.sum("times").alias("times"))
 
 
-def _ruled_in(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that the sizes and sketches of the two don't rule out."""
-    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+def _labels(count: int, near) -> np.ndarray:
+    """Labels of connected places 0..count-1: near(x, ys) says which of the later places ys x is connected to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, m, n, s, t = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("a", "b", "n_a", "n_b", "s_a", "s_b"))
-            keep = []
-            for i in range(len(a)):
-                size = min(len(s[i]), len(t[i]))
-                if min(m[i], n[i]) * WHOLE >= PART * max(m[i], n[i]):
-                    x, y = _folded(s[i], size), _folded(t[i], size)
-                    if int(np.bitwise_count(x ^ y).sum()) <= differ_at_most(m[i], n[i]):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+    Pairs that are connected already aren't asked for."""
+    label = np.arange(count)
+    for x in range(count - 1):
+        ys = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        if len(ys):
+            hit = ys[near(x, ys)]
+            if len(hit):
+                old = np.unique(np.append(label[hit], label[x]))
+                label[np.isin(label, old)] = old[0]
+    return label
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
+def _forest(node: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the least node of each label to the others."""
+    order = np.lexsort((node, label))
+    node, label = node[order], label[order]
+    first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    root = np.repeat(node[first], np.diff(np.append(first, len(node))))
+    rest = np.flatnonzero(root != node)
+    return list(zip(root[rest].tolist(), node[rest].tolist(), strict=True))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts' shingles reach the threshold.
 
-    Each b's text goes to a task that holds the shingles of a; a leader with many partners has several such tasks.
-    """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    spread = pairs.join(shares, "a").select("a", F.pmod(F.hash("b"), F.col("shares")).alias("share"), "b")
-    asked = spread.select("a", "share", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(spread.select("a", "share", F.col("a").alias("node"), F.lit(0).alias("role")).distinct())
-    asked = materialize(asked.join(nodes.select("node", "rep"), "node"), "asked")
-    small = asked.count() <= SMALL  # 32 bytes a row
-    texts = docs.join(F.broadcast(asked) if small else asked, docs["doc_id"].eqNullSafe(asked["rep"]))
-    texts = texts.select("a", "share", "role", "node", "text").repartition(parts, "a", "share").sortWithinPartitions("a", "share", "role", "node")
+def _by_group(rows: DataFrame, key: list[str], deal: list[str], work) -> DataFrame:
+    """Deal rows by `deal`, which key decides, and call work(rows of one key, as tuples) -> edges for each key.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, held = None, np.zeros(0, np.uint64)
-        for batch in steps(batches):
-            h, o = shingles(*utf8(batch.column(4)), length)
-            ids = node_ids(h, o).tolist()
-            a, role, node = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            found: list[tuple[int, int]] = []
-            for i in range(len(a)):
-                if ids[i] != node[i]:
-                    continue  # another text under the same id
-                mine = h[o[i] : o[i + 1]]
-                if role[i] == 0:
-                    leader, held = a[i], mine.copy()
-                elif leader == a[i] and linked(held, mine):
-                    found.append((a[i], node[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-
-    return materialize(texts.mapInArrow(run, "a long, b long").distinct(), "links")
-
-
-def _across(runs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one run and different components that the sketches don't rule out.
-
-    Runs are cut into blocks of nodes; each pair of blocks is compared in one place.
-    """
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c = F.col
-    rows = runs.where(F.size("nodes") > 2).select(F.xxhash64("nodes").alias("run"), F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.posexplode("nodes").alias("place", "node"))
-    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
-    rows = rows.join(several, "run", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.withColumn("mine", F.expr(f"place div {BLOCK}").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "n", "sketch")
-    rows = rows.repartition(parts, "run", "i", "j").sortWithinPartitions("run", "i", "j", "n", "node")
-
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        """group: (run, i, j, mine, node, component, n, sketch), ascending by n."""
-        i, j = group[0][1], group[0][2]
-        least = min(len(x[7]) for x in group)
-        bits = np.stack([_folded(x[7], least) for x in group])
-        bits = bits.view(np.uint64)
-        block, node, component, n = (np.array([x[k] for x in group]) for k in (3, 4, 5, 6))
-        out = []
-        end = np.searchsorted(n, n * WHOLE // PART, side="right")
-        for x in range(len(group) - 1):
-            y = slice(x + 1, int(end[x]))
-            if y.stop <= y.start:
-                continue
-            close = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= differ_at_most(n[y], n[x])
-            close &= component[y] != component[x]
-            if i != j:
-                close &= block[y] != block[x]
-            for k in np.flatnonzero(close).tolist():
-                p, q = int(node[x]), int(node[x + 1 + k])
-                out.append((min(p, q), max(p, q)))
-        return out
+    Rows begin with the columns of key; a task gives an edge once."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *deal).sortWithinPartitions(*deal, *key, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         known: set[tuple[int, int]] = set()
 
-        def out() -> pa.RecordBatch:
-            found = [x for x in compare(held) if x not in known] if len(held) > 1 else []
-            if len(known) < 1_000_000:
-                known.update(found)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        def out() -> Iterator[pa.RecordBatch]:
+            found = [x for x in work(held) if x not in known]
+            if len(known) > 1_000_000:
+                known.clear()
+            known.update(found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    made = out()
-                    if made.num_rows:
-                        yield made
+                if held and held[0][: len(key)] != row[: len(key)]:
+                    yield from out()
                     held.clear()
                 held.append(row)
         if held:
-            yield out()
+            yield from out()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of a run that counts, sizes and sketches don't keep apart.
+
+    Runs are cut into blocks of nodes; each pair of blocks is compared in one place. Runs with one least node are
+    dealt to a few tasks, so that what several of them find is told once.
+    """
+    c = F.col
+    rows = runs.select(F.xxhash64("nodes", "parity").alias("run"), F.element_at("nodes", 1).alias("leader"), "parity", "times", F.ceil(F.size("nodes") / RUN_BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
+    counts = rows.groupBy("node", "parity").agg(F.sum("times").alias("times"))
+    enough = counts.join(nodes, "node").where(c("times") >= F.when(c("parity") == 0, c("need_0")).otherwise(c("need_1")))
+    enough = materialize(enough.select("node", "parity", "n", "sketch"), "enough")
+    rows = rows.drop("times").join(enough, ["node", "parity"])
+    rows = rows.withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch", "leader", (F.pmod("run", F.lit(DEALT))).alias("share"))
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        group = sorted(group, key=lambda x: x[5])
+        least = min(len(x[6]) for x in group)
+        bits = np.stack([_folded(x[6], least) for x in group]).view(np.uint64)
+        node, block, n = (np.array([x[k] for x in group]) for k in (3, 4, 5))
+        end = np.searchsorted(n, n * WHOLE // PART, side="right")
+        cross = group[0][1] != group[0][2]
+
+        def near(x: int, ys: np.ndarray) -> np.ndarray:
+            at = ys < end[x]
+            if cross:
+                at &= block[ys] != block[x]
+            some = ys[at]
+            at[at] = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1, dtype=np.int64) <= differ_at_most(n[some], n[x])
+            return at
+
+        return _forest(node, _labels(len(group), near))
+
+    return _by_group(rows, ["run", "i", "j"], ["leader", "share"], compare)
+
+
+def _linked_pairs(sets: list[np.ndarray], mine: np.ndarray, cross: bool) -> np.ndarray:
+    """Which of the sets are linked, exactly: a symmetric matrix. cross: only sets of different blocks are compared."""
+    size = np.array([len(x) for x in sets])
+    value, of = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(of, minlength=len(value)) > 1
+    number = np.cumsum(shared) - 1
+    row, of = row[shared[of]], number[of[shared[of]]]
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), COLUMNS):
+        x, y = np.searchsorted(of, [a, a + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[x:y], of[x:y] - a] = 1
+        both += part @ part.T  # counts below 2**24 are exact
+    both = both.astype(np.int64)
+    link = WHOLE * both >= PART * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    return link & (mine[:, None] != mine[None, :]) if cross else link
+
+
+def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Edges (a, b) that connect the linked nodes of each cluster (node, component), by their whole texts' shingles.
+
+    A cluster's nodes are dealt to blocks by hash, as many as their number and size ask for; each pair of blocks meets
+    in one place.
+    """
+    c = F.col
+    rows = clusters.join(nodes.select("node", "rep", "n"), "node")
+    size = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / NODE_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node"), c("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    asked = materialize(rows.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "rep"), "asked")
+    small = asked.count() <= SMALL  # 48 bytes a row
+    texts = docs.join(F.broadcast(asked) if small else asked, docs["doc_id"].eqNullSafe(asked["rep"]))
+    texts = texts.select("component", "i", "j", "node", "mine", "text")
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        sets: dict[int, np.ndarray] = {}
+        block: dict[int, int] = {}
+        for a in range(0, len(group), 256):
+            some = group[a : a + 256]
+            h, o = shingles(*utf8(pa.array([x[5] for x in some], pa.large_string())), length)
+            for i, found in enumerate(node_ids(h, o).tolist()):
+                if found == some[i][3]:  # else another text under the same id
+                    sets[found], block[found] = h[o[i] : o[i + 1]], some[i][4]
+        if len(sets) < 2:
+            return []
+        node = np.array(sorted(sets))
+        cross = group[0][1] != group[0][2]
+        if len(node) < 6:
+            of = [sets[x] for x in node.tolist()]
+            where = [block[x] for x in node.tolist()]
+            label = _labels(len(node), lambda x, ys: np.array([(not cross or where[x] != where[y]) and linked(of[x], of[y]) for y in ys.tolist()]))
+        else:
+            link = _linked_pairs([sets[x] for x in node.tolist()], np.array([block[x] for x in node.tolist()]), cross)
+            label = _labels(len(node), lambda x, ys: link[x, ys])
+        return _forest(node, label)
+
+    return materialize(_by_group(texts, ["component", "i", "j"], ["component", "i", "j"], compare), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -400,17 +481,11 @@ def join(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[Dat
     ship(docs.sparkSession)
     rows = _texts(docs, text)
     info = materialize(_describe(rows, length), "sets")
-    nodes = materialize(info.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = materialize(info.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("need_0").alias("need_0"), F.first("need_1").alias("need_1")), "nodes")
     runs = materialize(_runs(rows, length), "runs")
-    star = runs.select(F.element_at("nodes", 1).alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("b")).distinct()
-    tried = materialize(_ruled_in(star, nodes), "tried")
-    links = _verified(tried, nodes, rows, length)
-    labels = components(links)
-    more = materialize(_across(runs, labels, nodes).join(tried, ["a", "b"], "left_anti"), "across")
-    later = _verified(more, nodes, rows, length)
-    if not later.isEmpty():
-        labels = components(links.unionByName(later).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return info.drop("sketch"), labels, nodes
+    clusters = components(materialize(_near(runs, nodes), "near"))
+    labels = components(_links(clusters, nodes, rows, length))
+    return info.select("doc_id", "n_shingles", "node"), labels, nodes
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -420,3 +495,47 @@ def jaccard_components(docs: DataFrame, text: str = "text", length: int = LENGTH
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labels.join(least, "component").select("node", "component_id")
     return info.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a linked row with a smaller doc_id stands for.
+
+    Of each component the row with the least doc_id stays (a null id counts as least), once if it is repeated; rows
+    without words stay. Rows that share a doc_id but not a text are told apart by their shingles.
+    """
+    info, labels, _ = join(docs, text, length)
+    info = info.where("node IS NOT NULL").select("doc_id", "node")
+    named = info.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"))
+    out = named.join(best, "component").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))))
+    out = materialize(out.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct(), "gone")
+    unique = info.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    small = out.count() <= SMALL  # 24 bytes a row
+    gone = F.broadcast(out) if small else out
+    if unique:
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    at, schema = docs.columns.index(text), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            column = pa.array([None if x is None else str(x) for x in batch.column(at).to_pylist()], pa.string())
+            node = node_ids(*shingles(*utf8(column), length))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=node == 0)], [*batch.schema.names, "__node"])
+
+    rows = docs.mapInArrow(run, type(schema)([*schema.fields]).add("__node", "long"))
+    rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__node") == F.col("gone_node")), "left_anti")
+    full = rows.where("__node IS NOT NULL").dropDuplicates(["doc_id", "__node"])
+    return full.unionByName(rows.where("__node IS NULL")).drop("__node")
+
+
+def sql(length: int = LENGTH) -> str:
+    """jaccard_components() in DuckDB SQL, over all pairs that share a shingle."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{low}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {length} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {length - 2}), lambda i: array_to_string(w[i : i + {length - 1}], ' ')) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE {WHOLE} * c >= {PART} * (p.n + q.n - c)),
+    b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT x AS id, x AS root FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.id),
+    c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id"""

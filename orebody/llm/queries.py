@@ -71,5 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_transducer_counts": op10_transducer_counts,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the others are compared with brute force in the tests.
+SQL: dict[str, str] = {
+    "op4_partenum_jaccard": ngrams.sql(),
+    "op7_source_mixing": mixing.sql(block=256, weights=(5, 2, 1), share=1.5, most=2),
+    "op9_quality_rules": rules.sql(),
+}
