@@ -27,6 +27,8 @@ PRIME, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
 ROUNDS = 24
 #: Slots that one exploded row makes, and documents (by id) whose running sum one window makes.
 CHUNK, BUCKET = 4096, 1024
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
 
 
 def _scatter(x: Column) -> Column:
@@ -121,15 +123,16 @@ def placed(rows: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     buckets of ids and then over the buckets, so that a large source is no single task's work.
     """
     rows = rows.withColumn("bucket", F.expr(f"doc_id div {BUCKET}"))
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
-    rows = rows.withColumn("row", F.row_number().over(within))
-    rows = rows.withColumn("start", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    buckets = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     sources = materialize(targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), **how), "sources")
+    few = buckets.count() <= SMALL  # 64 bytes a row
     buckets = buckets.withColumn("base", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
     s = sources.select(F.col("source").alias("s"), "source_size", "sid", "target")
     buckets = buckets.join(s, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), "base", "source_size", "sid", "target")
-    both = rows.join(buckets, F.col("source").eqNullSafe(F.col("bs")) & F.col("bucket").eqNullSafe(F.col("bb")))
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+    rows = rows.withColumn("row", F.row_number().over(within))
+    rows = rows.withColumn("start", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    both = rows.join(F.broadcast(buckets) if few else buckets, F.col("source").eqNullSafe(F.col("bs")) & F.col("bucket").eqNullSafe(F.col("bb")))
     return both.withColumn("start", F.col("start") + F.col("base")).drop("bs", "bb", "base"), sources
 
 
@@ -164,15 +167,25 @@ def mix(docs: DataFrame, text: str = "text", block: int = 256, seed: int = 7, sh
     names = docs.columns
     core = F.btrim(F.coalesce(c(text).cast("string"), F.lit("")), F.lit(BLANKS))
     rows = docs.select(F.struct(*(c(f"`{x}`") for x in names if x != text)).alias("own"), core.alias("core"), c("doc_id").cast("long").alias("doc_id"), c("source").cast("string").alias("source"))
-    rows = materialize(rows.withColumn("size", n_words(c("core"))).where("size > 0"), "words")
-    rows, sources = placed(rows, **how)
-    rows = rows.withColumn("parts", F.regexp_extract_all("core", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))).drop("core")
-    pieces = _pieces(rows, block)
-    pieces = pieces.select("own", "sid", "idx", "a", F.slice("parts", (c("idx") * block + c("a") - c("start") + 1).cast("int"), (c("b") - c("a")).cast("int")).alias("parts"))
+    rows, sources = placed(rows.withColumn("size", n_words(c("core"))).where("size > 0"), **how)
+    each = lambda x: F.regexp_extract_all(x, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+
+    def cuts(parts: Column) -> Column:
+        def one(i: Column) -> Column:
+            a = F.greatest(c("start") - i * block, F.lit(0))
+            n = F.least(c("start") + c("size") - i * block, F.lit(block)) - a
+            body = F.array_join(F.slice(parts, (i * block + a - c("start") + 1).cast("int"), n.cast("int")), "")
+            return F.struct(i.alias("idx"), a.alias("a"), n.alias("n"), body.alias("body"))
+
+        return F.transform(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")), one)
+
+    # The words are bound once to a lambda's argument, and each piece holds its own words alone.
+    pieces = F.flatten(F.transform(F.array(each(c("core"))), cuts))
+    pieces = rows.select("own", "sid", F.explode(pieces).alias("x")).select("own", "sid", "x.*")
     got = slots(sources, block, seed, shard).select("shard", "slot", c("sid").alias("s"), c("idx").alias("i"), "words")
     both = pieces.join(got.hint("merge"), (c("sid") == c("s")) & (c("idx") == c("i")) & (c("words") > c("a")))
-    body = F.rtrim(F.array_join(F.slice("parts", F.lit(1), F.least(F.size("parts").cast("long"), c("words") - c("a")).cast("int")), ""))
-    both = both.withColumn("body", body)
+    cut = F.when(c("words") - c("a") >= c("n"), c("body")).otherwise(F.array_join(F.slice(each(c("body")), F.lit(1), (c("words") - c("a")).cast("int")), ""))
+    both = both.withColumn("body", F.rtrim(cut, F.lit(BLANKS)))
     out = [c("body").alias(x) if x == text else F.length("body").cast("long").alias(x) if x == "n_chars" else c(f"own.`{x}`") for x in names]
     return both.select("shard", "slot", "a", *out)
 
