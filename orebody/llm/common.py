@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -63,6 +65,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ NULL_ID = -(1 << 63)
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
+    path = path.replace("s3a://", "s3://").replace("s3n://", "s3://")
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
 
