@@ -18,7 +18,7 @@ def coefficients(n: int, seed: int) -> list[tuple[int, int]]:
 
 def element_sets(sets: DataFrame) -> DataFrame:
     """id, its sorted distinct elements and their number."""
-    rows = sets.groupBy("id").agg(F.array_sort(F.collect_set("elem")).alias("elems"))
+    rows = sets.groupBy("id").agg(F.sort_array(F.collect_set("elem")).alias("elems"))
     return rows.withColumn("n", F.size("elems"))
 
 
@@ -47,8 +47,8 @@ def candidate_pairs(sigs: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose exact Jaccard similarity reaches the threshold."""
-    known = element_sets(sets)
+    """Pairs whose exact Jaccard similarity reaches the threshold; elements are compared by their 64-bit hashes."""
+    known = element_sets(sets.select("id", F.xxhash64("elem").alias("elem")))
     a, b = (known.select(F.col("id").alias(x), F.col("elems").alias(f"e_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("e_a", "e_b")))
     both = both.withColumn("similarity", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
@@ -58,8 +58,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def jaccard_join(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All pairs a < b with Jaccard similarity of at least the threshold, exactly.
 
-    Elements are ordered from rare to common; sets that similar share one among their first n - ceil(t n) + 1, so only
-    these rare ones are joined on, and only sets whose sizes allow it are compared.
+    Elements are ordered from rare to common. Sets that similar share one among their first n - ceil(t n) + 1, so only
+    these are joined on; sizes must allow the similarity, and so must what lies behind the first common element in
+    both sets: at most that many elements more can be shared.
     """
     rows = sets.select("id", "elem").distinct()
     counts = rows.groupBy("elem").agg(F.count("*").alias("df"))
@@ -67,10 +68,12 @@ def jaccard_join(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("id"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "elem"))
     prefix = ranked.withColumn("n", n).withColumn("place", place)
-    prefix = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1").select("id", "elem", "n")
-    a, b = (prefix.select(F.col("id").alias(x), "elem", F.col("n").alias(f"n_{x}")) for x in "ab")
+    prefix = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1").select("id", "elem", "n", "place")
+    a, b = (prefix.select(F.col("id").alias(x), "elem", F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}")) for x in "ab")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
     fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = a.join(b, "elem").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    behind = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) + 1 >= need
+    pairs = a.join(b, "elem").where((F.col("a") < F.col("b")) & fits & behind).select("a", "b").distinct()
     return verified(pairs, rows, threshold)
 
 
