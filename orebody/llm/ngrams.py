@@ -31,6 +31,8 @@ BAND = 2
 #: Entries that a task gathers before it sends them to their buckets; nodes of a run, nodes and shingles of a cluster in
 #: a block; elements a matrix product takes at a time; rows that may be broadcast; tasks for the runs of one leader.
 FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL, DEALT = 1 << 20, 1024, 512, 300_000, 8192, 200_000, 16
+#: Sets that a task gathers at most before it sends their signatures: a set's place is sent as uint16.
+PLACES = 1 << 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +242,9 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             for a in range(0, len(out[0]), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 64], pa.int64()), *(pa.array(x[a : a + 64], pa.binary()) for x in out[1:])], ["bucket", "low", "at", "ids"])
 
-        for batch in steps(batches):
+        for batch in (step.slice(a, PLACES) for step in steps(batches) for a in range(0, step.num_rows, PLACES)):
+            if held and len(seen) + batch.num_rows > PLACES:
+                yield from flush()
             h, o = shingles(*utf8(batch.column(1)), length)
             node, size = node_ids(h, o), np.diff(o)
             new = [i for i, x in enumerate(node.tolist()) if size[i] and x not in seen and seen.setdefault(x, len(seen)) >= 0]
@@ -251,7 +255,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             place = np.array([seen[x] for x in node[keep].tolist()], np.int64)
             if len(sig):
                 held.append((sig, place[row].astype(np.uint16)))
-            if sum(len(x) for x, _ in held) > FLUSH or len(seen) > 60_000:
+            if sum(len(x) for x, _ in held) > FLUSH:
                 yield from flush()
         if held:
             yield from flush()

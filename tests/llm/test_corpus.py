@@ -86,6 +86,14 @@ def test_components_in_small_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
 
 
+def test_a_task_of_many_short_texts(spark):
+    """More distinct sets in one task than a place has numbers; each odd row is its neighbour and a word more."""
+    text = "concat(hex(id - id % 2), ' a b c d ', hex(id - id % 2), if(id % 2 = 0, ' e', ' e f'))"
+    docs = spark.range(0, 72_000, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")
+    got = ngrams.jaccard_components(docs)
+    assert got.where("component_id = doc_id - doc_id % 2").count() == got.count() == 72_000
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for n in [1, 2, 3, 4, 5, 7, 8, 12, 16, 31, 33, 64, 100, 127, 300, 700]:
