@@ -24,7 +24,7 @@ from orebody.llm.learn import SAMPLE_ROWS, fit, held_out, sample
 #: Weights (a power of two), beginnings of words in bytes, and training documents that a feature needs.
 WEIGHTS, BEGINNINGS, LEAST = 1 << 20, (4, 5, 6), 3
 UPDATES, BATCH, RATE, PENALTY = 1200, 128, 0.7, 1e-6
-#: The logit of a sentence without known words: so low that thousands of them leave a long document clean.
+#: The logit of a sentence without known words. A score counts what its words add to that: such sentences add nothing.
 BIAS = -10.0
 
 _WORD = np.zeros(256, bool)
@@ -126,9 +126,9 @@ class Scorer:
         f, s, sentence, row = features(data, offsets)
         known = self.weight[f] != 0
         f, s = _once(f[known], s[known])
-        logit = self.bias + np.bincount(s, self.weight[f], minlength=len(sentence))
-        score = 1 - np.exp(np.bincount(row, _logs(logit), minlength=len(offsets) - 1)) if len(row) else np.zeros(len(offsets) - 1)
-        return np.clip(score, 0, 1), row, sentence, np.exp(-np.logaddexp(0, -logit))
+        logs = _logs(self.bias + np.bincount(s, self.weight[f], minlength=len(sentence))) - _logs(self.bias)
+        score = 1 - np.exp(np.bincount(row, logs, minlength=len(offsets) - 1)) if len(row) else np.zeros(len(offsets) - 1)
+        return np.clip(score, 0, 1), row, sentence, -np.expm1(logs)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> dict:

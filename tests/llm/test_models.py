@@ -112,6 +112,19 @@ def test_noisy_or_and_offending_sentences(spark):
     assert abs(p[0] - (1 - np.prod(1 - each))) < 1e-9
 
 
+def test_sentences_without_known_words_add_nothing():
+    words = "bad word of the worst kind".split()
+    texts = [f"{w} {x}." for w in words for x in "ab"] * 4
+    model = toxicity.train([t.encode() for t in texts], np.array([float("bad" in t) for t in texts]))
+    scorer = toxicity.Scorer(model)
+    clean = "Xylo quartz jumps.\n\n1 2 3.\n" * 20_000
+    for text, toxic in ((clean, False), (clean + "A bad one.", True)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        p, _, sentence, _ = scorer(data, np.array([0, len(data)]))
+        assert len(sentence) >= 40_000
+        assert p[0] >= 0.3 if toxic else p[0] == 0
+
+
 def test_keep_clean_keeps_all_columns(edge, empty, labels):
     model = toxicity.fit_toxicity(edge, labels)
     kept = toxicity.keep_clean(edge, model)
