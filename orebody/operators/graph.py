@@ -165,8 +165,9 @@ def modularity(components: DataFrame, edges: DataFrame, remaining: DataFrame | N
     return one.select(F.round(share, 9).alias("modularity"))
 
 
-def girvan_newman(edges: DataFrame, rounds: int = 1000, adjacency: str = "remaining") -> DataFrame:
-    """id, component and modularity of the best partition met while edges of largest betweenness are removed.
+def girvan_newman(edges: DataFrame, adjacency: str = "remaining") -> DataFrame:
+    """id, component and modularity of the best partition met while edges of largest betweenness are removed, until
+    none is left.
 
     The first of equally good partitions is kept. adjacency: whether edges count as present while they remain
     ('remaining') or throughout ('original').
@@ -174,7 +175,7 @@ def girvan_newman(edges: DataFrame, rounds: int = 1000, adjacency: str = "remain
     start = durable(edges.select("src", "dst"), "graph")
     ids = durable(vertices(start), "vertices")
     left, best, best_q = start, None, float("-inf")
-    for _ in range(rounds):
+    while True:
         parts = connected_components(left, ids)
         q = modularity(parts, start, left if adjacency == "remaining" else None).first()["modularity"]
         if q is not None and q > best_q:

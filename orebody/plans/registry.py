@@ -465,7 +465,7 @@ def modularity(spark, d):
 
 @query()
 def girvan_newman(spark, d):
-    return graph.girvan_newman(graph.edges_of(views.bought(spark, d), "user", "item", SHARED + 1), rounds=40)
+    return graph.girvan_newman(_edges(spark, d))
 
 
 # Streams
