@@ -314,6 +314,8 @@ def business_features(spark, d):
     return recommend.business_features(views.business(spark, d))
 
 
+#: Queries that are compared with SQL ask for the pairs that it asks for: a fiftieth of the orders.
+SQL_EVERY = 50
 _asked = f"WITH {views.SQL['asked']}, {_user}, {_business}"
 
 
@@ -323,7 +325,7 @@ def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"{_asked} SELECT * FROM asked JOIN users USING (user_id) JOIN business USING (business_id)")
 def features_inner(spark, d):
-    return recommend.features_inner(views.asked_pairs(spark, d), *_features(spark, d))
+    return recommend.features_inner(views.asked_pairs(spark, d, SQL_EVERY), *_features(spark, d))
 
 
 _zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in recommend.WIDE_USER + recommend.WIDE_BUSINESS)
@@ -331,7 +333,7 @@ _zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in recommend.WIDE_USER + reco
 
 @query(f"{_asked} SELECT user_id, business_id, {_zero} FROM asked LEFT JOIN users USING (user_id) LEFT JOIN business USING (business_id)")
 def features_left(spark, d):
-    return recommend.features_left(views.asked_pairs(spark, d), *_features(spark, d))
+    return recommend.features_left(views.asked_pairs(spark, d, SQL_EVERY), *_features(spark, d))
 
 
 _train = views.with_sql("reviews", "asked")
@@ -339,7 +341,7 @@ _train = views.with_sql("reviews", "asked")
 
 @query(f"{_train}, m AS (SELECT user_id, avg(stars) AS mean FROM reviews GROUP BY user_id) SELECT user_id, business_id, round(CASE WHEN mean IS NULL THEN {recommend.UNKNOWN} ELSE least(greatest(mean, 1), 5) END, 6) AS prediction FROM asked LEFT JOIN m USING (user_id)")
 def cf_user_mean(spark, d):
-    return recommend.predict_user_mean(views.reviews(spark, d), views.asked_pairs(spark, d))
+    return recommend.predict_user_mean(views.reviews(spark, d), views.asked_pairs(spark, d, SQL_EVERY))
 
 
 @query(f"""{_train}, rated AS (SELECT user_id, business_id, avg(stars) AS stars FROM reviews GROUP BY ALL), m AS (SELECT user_id, avg(stars) AS mean FROM reviews GROUP BY user_id),
@@ -352,7 +354,7 @@ def cf_user_mean(spark, d):
     shift AS (SELECT user_id, business_id, sum(w * dev) / sum(abs(w)) AS shift FROM near WHERE r <= 15 GROUP BY ALL)
     SELECT user_id, business_id, round(CASE WHEN mean IS NULL THEN {recommend.UNKNOWN} ELSE least(greatest(mean + coalesce(shift, 0), 1), 5) END, 4) AS prediction FROM asked LEFT JOIN m USING (user_id) LEFT JOIN shift USING (user_id, business_id)""")
 def cf_item_based(spark, d):
-    return recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
+    return recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d, SQL_EVERY))
 
 
 def _narrow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +379,8 @@ def gbt_predict_wide(spark, d):
 
 @query()
 def hybrid_blend(spark, d):
-    return recommend.blend(gbt_predict(spark, d), cf_item_based(spark, d))
+    neighbours = recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
+    return recommend.blend(gbt_predict(spark, d), neighbours)
 
 
 # Graphs

@@ -72,9 +72,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.col("label").cast("bigint").alias("label"))
 
 
-def asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, business_id to predict: some known pairs, unknown users and unknown businesses."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+def asked_pairs(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """user_id, business_id to predict: known pairs, unknown users and unknown businesses, for the orders whose key
+    is a multiple of `every` (50 in the SQL)."""
+    orders = table(spark, sf_dir, "orders").where(f"o_orderkey % {every} = 0")
     user = F.when(F.col("o_orderkey") % 350 == 0, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
     business = F.when(F.col("o_orderkey") % 550 == 0, F.lit(1_000_000_000).cast("bigint")).otherwise(F.col("o_orderkey") % 97 + 1)
     return orders.select(user.alias("user_id"), business.alias("business_id")).distinct()

@@ -2,7 +2,12 @@
 
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
+from orebody.operators import recommend
 from orebody.plans import registry
+from orebody.sources import views
 
 
 def test_girvan_newman_takes_the_graph_of_shared(spark, tmp_path):
@@ -14,3 +19,19 @@ def test_girvan_newman_takes_the_graph_of_shared(spark, tmp_path):
     spark.createDataFrame([(i, p) for i, (_, p) in enumerate(bought)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.QUERIES["girvan_newman"](spark, str(tmp_path))
     assert {(r["id"], r["component"]) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)}
+
+
+@pytest.mark.parametrize("name", ["gbt_predict", "gbt_predict_wide", "hybrid_blend"])
+def test_recommenders_predict_for_all_orders(spark, sf, monkeypatch, name):
+    """Every order's pair has a prediction, those of unknown users and businesses where features may be missing."""
+    monkeypatch.setattr(recommend, "predict_trees", lambda train, asked, *_, **__: asked.select("user_id", "business_id", F.lit(3.0).alias("prediction")))
+    key, orders = F.col("o_orderkey"), views.table(spark, sf, "orders")
+    user = F.when(key % 350 == 0, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
+    business = F.when(key % 550 == 0, 1_000_000_000).otherwise(key % 97 + 1)
+    asked = {tuple(r) for r in orders.select(user, business).distinct().collect()}
+    if name != "gbt_predict_wide":
+        known = views.reviews(spark, sf)
+        users, items = ({r[0] for r in known.select(c).distinct().collect()} for c in ("user_id", "business_id"))
+        asked = {(u, b) for u, b in asked if u in users and b in items}
+    got = [(r["user_id"], r["business_id"]) for r in registry.QUERIES[name](spark, sf).collect()]
+    assert sorted(got) == sorted(asked)
