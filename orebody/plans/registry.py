@@ -17,8 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the registered queries.
 YEAR, BATCH, SHARED, BASKET, DRAWS, FUNCTIONS, BAND_ROWS, JACCARD = 1998, 100, 7, 3, 11, 100, 5, 0.5
 PAIR_SHARE, TRIPLE_SHARE, LABELS, NEAR, CLOSE = 0.002, 0.0003, 5, 16.0, 3.0
-#: Trees small enough for a check; predict_trees itself has the full parameters as defaults.
-TREES = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
+#: The blend's own model.
+BLEND = {"maxIter": 200, "maxDepth": 15, "stepSize": 0.05, "featureSubsetStrategy": "0.3", "subsamplingRate": 1.0, "minInstancesPerNode": 1}
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -367,20 +367,20 @@ def _narrow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def gbt_predict(spark, d):
-    return recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, featureSubsetStrategy="0.5", **TREES)
+    return recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, featureSubsetStrategy="0.5")
 
 
 @query()
 def gbt_predict_wide(spark, d):
     rows = views.reviews(spark, d).select("user_id", "business_id", "stars")
     both = [recommend.features_left(x, *_features(spark, d)) for x in (rows, views.asked_pairs(spark, d))]
-    return recommend.predict_trees(*both, recommend.WIDE_USER + recommend.WIDE_BUSINESS, featureSubsetStrategy="0.6", **TREES)
+    return recommend.predict_trees(*both, recommend.WIDE_USER + recommend.WIDE_BUSINESS, featureSubsetStrategy="0.6")
 
 
 @query()
 def hybrid_blend(spark, d):
     neighbours = recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
-    return recommend.blend(gbt_predict(spark, d), neighbours)
+    return recommend.blend(recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, **BLEND), neighbours)
 
 
 # Graphs

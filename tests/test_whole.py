@@ -35,3 +35,17 @@ def test_recommenders_predict_for_all_orders(spark, sf, monkeypatch, name):
         asked = {(u, b) for u, b in asked if u in users and b in items}
     got = [(r["user_id"], r["business_id"]) for r in registry.QUERIES[name](spark, sf).collect()]
     assert sorted(got) == sorted(asked)
+
+
+def test_recommenders_use_the_models_of_the_reference(spark, sf, monkeypatch):
+    used = []
+
+    def record(train, asked, features, **params):
+        used.append(recommend.TREES | params)
+        return asked.select("user_id", "business_id", F.lit(3.0).alias("prediction"))
+
+    monkeypatch.setattr(recommend, "predict_trees", record)
+    for name in ("gbt_predict", "gbt_predict_wide", "hybrid_blend"):
+        registry.QUERIES[name](spark, sf)
+    parts = [(x["maxIter"], x["maxDepth"], x["stepSize"], x["featureSubsetStrategy"], x["subsamplingRate"], x["minInstancesPerNode"]) for x in used]
+    assert parts == [(300, 17, 0.02, "0.5", 0.8, 101), (300, 17, 0.02, "0.6", 0.8, 101), (200, 15, 0.05, "0.3", 1.0, 1)]
