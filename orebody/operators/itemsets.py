@@ -109,9 +109,10 @@ def mine_local(found: list[list], support: int, longest: int | None = None) -> s
     return out
 
 
-def son(rows: DataFrame, support: int, total: int, kind: str = "bigint", longest: int = 3) -> DataFrame:
+def son(rows: DataFrame, support: int, total: int, kind: str = "bigint", longest: int | None = None) -> DataFrame:
     """itemset and support in two passes: each chunk of a partition is mined at its share of the support, and the
-    union of what is frequent somewhere is counted over all baskets. longest: the largest sets that are mined."""
+    union of what is frequent somewhere is counted over all baskets. longest: the largest sets that are mined;
+    by default levels go on until one is empty."""
     chunk = 20_000
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

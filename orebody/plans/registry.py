@@ -218,7 +218,7 @@ def freq_itemsets_fpgrowth(spark, d):
 def son_itemsets(spark, d):
     pairs = views.basket_pairs(spark, d)
     rows = itemsets.baskets(pairs, "key", "item")
-    return _named(itemsets.son(rows, _support(pairs, PAIR_SHARE), rows.count()))
+    return _named(itemsets.son(rows, _support(pairs, PAIR_SHARE), rows.count(), longest=3))
 
 
 @query(f"""{_pairs}, two AS (SELECT a.item AS x, b.item AS y FROM pairs a JOIN pairs b ON a.key = b.key AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {_sql_support(PAIR_SHARE)})

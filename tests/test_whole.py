@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import recommend
+from orebody.operators import itemsets, recommend
 from orebody.plans import registry
 from orebody.sources import views
 
@@ -49,3 +49,9 @@ def test_recommenders_use_the_models_of_the_reference(spark, sf, monkeypatch):
         registry.QUERIES[name](spark, sf)
     parts = [(x["maxIter"], x["maxDepth"], x["stepSize"], x["featureSubsetStrategy"], x["subsamplingRate"], x["minInstancesPerNode"]) for x in used]
     assert parts == [(300, 17, 0.02, "0.5", 0.8, 101), (300, 17, 0.02, "0.6", 0.8, 101), (200, 15, 0.05, "0.3", 1.0, 1)]
+
+
+def test_son_mines_until_a_level_is_empty(spark):
+    rows = spark.createDataFrame([(i, [1, 2, 3, 4, 5]) for i in range(4)] + [(4, [1, 6])], "key long, items array<long>")
+    got = {(tuple(r["itemset"]), r["support"]) for r in itemsets.son(rows, 3, 5).collect()}
+    assert got == {(s, 5 if s == (1,) else 4) for k in range(1, 6) for s in combinations(range(1, 6), k)}
