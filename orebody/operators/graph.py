@@ -77,12 +77,12 @@ def groups(labels: DataFrame, by: str = "label") -> DataFrame:
     return rows.select("members", F.size("members").alias("size"))
 
 
-def bfs_depths(edges: DataFrame, root, limit: int = 64) -> DataFrame:
+def bfs_depths(edges: DataFrame, root) -> DataFrame:
     """id and depth of every vertex reached from root, by frontiers."""
     both = durable(symmetric(edges), "neighbours")
     found = durable(vertices(edges).where(F.col("id") == root).withColumn("depth", F.lit(0)), "depth")
     frontier, depth = found, 0
-    while depth < limit:
+    while True:
         depth += 1
         near = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = durable(near.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")

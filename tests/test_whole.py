@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import itemsets, recommend
+from orebody.operators import graph, itemsets, recommend
 from orebody.plans import registry
 from orebody.sources import views
 
@@ -55,3 +55,9 @@ def test_son_mines_until_a_level_is_empty(spark):
     rows = spark.createDataFrame([(i, [1, 2, 3, 4, 5]) for i in range(4)] + [(4, [1, 6])], "key long, items array<long>")
     got = {(tuple(r["itemset"]), r["support"]) for r in itemsets.son(rows, 3, 5).collect()}
     assert got == {(s, 5 if s == (1,) else 4) for k in range(1, 6) for s in combinations(range(1, 6), k)}
+
+
+def test_bfs_reaches_the_end_of_a_long_chain(spark):
+    edges = spark.range(70).selectExpr("id AS src", "id + 1 AS dst")
+    got = {(r["id"], r["depth"]) for r in graph.bfs_depths(edges, 0).collect()}
+    assert got == {(i, i) for i in range(71)}
