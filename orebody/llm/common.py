@@ -84,33 +84,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[key] = np.cumprod(table)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[i] = sum of (byte + 1) * base**j for j < i, modulo 2**64."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans data[start:end] as little-endian words of 8 bytes, filled up with zeros: the words (one at least for
+    each span), each word's span, and each span's first word. Spans are equal if their lengths and words are."""
+    count = np.maximum(1, (end - start + 7) >> 3)
+    first = np.cumsum(count) - count
+    span = np.repeat(np.arange(len(start)), count)
+    at = start[span] + 8 * (np.arange(len(span)) - first[span])
+    padded = np.append(data, np.zeros(8, np.uint8))
+    word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    rest = end[span] - at
+    short = np.flatnonzero(rest < 8)
+    word[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+    return word, span, first
+
+
+def lane_hash(word: np.ndarray, span: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans given as lanes(), equal for equal bytes wherever they stand: every word is mixed before
+    and after its place in the span is added, so that no arithmetic of the text survives."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = (np.arange(len(span)) - first[span] + 1).astype(np.uint64)
+    total = np.add.reduceat(mix64(mix64(word) + place * np.uint64(0xA24BAED4963EE407)), first)
+    return mix64(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]."""
+    return lane_hash(*lanes(data, start, end), end - start)
 
 
 _SPACE = np.zeros(256, bool)

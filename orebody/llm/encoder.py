@@ -2,8 +2,9 @@
 
 The library cuts a text into pre-tokens before it merges. Three places always lie between two pre-tokens of the
 byte-level pattern: before a single space that has no white space beside it, around a single line end that has none
-beside it, and between a letter and an ASCII sign other than an apostrophe. Texts are cut there, all at once, and each different piece is
-given to the library once; any other text inside a piece is the library's own affair.
+beside it, and between a letter and an ASCII sign other than an apostrophe. Texts are cut there, all at once, and each
+different piece is given to the library once; any other text inside a piece is the library's own affair. Pieces are
+found by a hash and then compared byte by byte: one that meets another's hash is encoded anew.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import os
 
 import numpy as np
 
-from orebody.llm.common import prefix_hash, span_hash
+from orebody.llm.common import lane_hash, lanes
 
-#: Pieces a worker remembers before it begins anew, and ids of these pieces.
-PIECES, IDS = 3 << 18, 1 << 23
+#: Pieces a worker remembers before it begins anew, ids of these pieces, and words of 8 bytes that they fill.
+PIECES, IDS, WORDS = 3 << 18, 1 << 23, 1 << 22
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -40,8 +41,12 @@ class Encoder:
         self._reset(1 << 17)
 
     def _reset(self, slots: int) -> None:
-        self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.pool, self.used, self.count = np.zeros(slots, np.uint32), 0, 0
+        self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        #: By entry: the piece's first id and number of ids, its first word and number of bytes.
+        self.at, self.size, self.word, self.bytes = (np.zeros(slots, np.int32) for _ in range(4))
+        self.pool, self.used = np.zeros(slots, np.uint32), 0
+        self.words, self.filled = np.zeros(slots, np.uint64), 0
+        self.count = 0
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The first byte of each piece."""
@@ -97,34 +102,39 @@ class Encoder:
             open_ = open_[(found != key[open_]) & (found != 0)]
         return slot
 
-    def _learn(self, key: np.ndarray, texts: list[str]) -> None:
-        """Ask the library for pieces with different, unknown keys."""
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts, one after another, and their numbers."""
         encoded = [x.ids for a in range(0, len(texts), 4096) for x in self.library.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
         size = np.array([len(x) for x in encoded], np.int32)
-        total = int(size.sum())
-        flat = np.fromiter((i for x in encoded for i in x), np.uint32, total)
-        if self.used + total > len(self.pool):
-            self.pool = np.append(self.pool[: self.used], np.zeros(max(self.used, 2 * total), np.uint32))
-        self.pool[self.used : self.used + total] = flat
-        at = (self.used + np.cumsum(size) - size).astype(np.int32)
-        self.used += total
-        if 2 * (self.count + len(key)) > len(self.keys):
-            slots = 1 << (4 * (self.count + len(key))).bit_length()
+        return np.fromiter((i for x in encoded for i in x), np.uint32, int(size.sum())), size
+
+    def _learn(self, key: np.ndarray, texts: list[str], words: list[np.ndarray], bytes_: np.ndarray) -> None:
+        """Ask the library for pieces with different, unknown keys."""
+        flat, size = self._ask(texts)
+        filled = np.array([len(x) for x in words], np.int32)
+        self.pool, at = _extended(self.pool, self.used, flat), self.used + np.cumsum(size) - size
+        self.words, word = _extended(self.words, self.filled, np.concatenate(words)), self.filled + np.cumsum(filled) - filled
+        self.used, self.filled = self.used + len(flat), self.filled + int(filled.sum())
+        entry = self.count + np.arange(len(key))
+        for name, value in (("at", at), ("size", size), ("word", word), ("bytes", bytes_)):
+            setattr(self, name, _extended(getattr(self, name), self.count, value.astype(np.int32)))
+        self.count += len(key)
+        if 2 * self.count > len(self.keys):
             old = np.flatnonzero(self.keys)
-            kept = self.keys[old], self.at[old], self.size[old]
-            self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+            kept = self.keys[old], self.entry[old]
+            slots = 1 << (4 * self.count).bit_length()
+            self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
             self._put(*kept)
-        self._put(key, at, size)
-        self.count += len(key)
+        self._put(key, entry)
 
-    def _put(self, key: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+    def _put(self, key: np.ndarray, entry: np.ndarray) -> None:
         while len(key):
             slot = self._slot(key)
             _, first = np.unique(slot, return_index=True)  # of those that want one slot, one gets it
-            self.keys[slot[first]], self.at[slot[first]], self.size[slot[first]] = key[first], at[first], size[first]
+            self.keys[slot[first]], self.entry[slot[first]] = key[first], entry[first]
             rest = np.ones(len(key), bool)
             rest[first] = False
-            key, at, size = key[rest], at[rest], size[rest]
+            key, entry = key[rest], entry[rest]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a text buffer, one after another, and the rows' offsets among them."""
@@ -132,25 +142,43 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        key = span_hash(prefix_hash(data), start, end) | np.uint64(1)
+        word, span, first = lanes(data, start, end)
+        key = lane_hash(word, span, first, end - start) | np.uint64(1)
         slot = self._slot(key)
         missing = np.flatnonzero(self.keys[slot] != key)
+        text = lambda some: [data[a:b].tobytes().decode("utf-8") for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
         if len(missing):
-            new, first = np.unique(key[missing], return_index=True)
-            where = missing[first]
-            if self.count + len(new) > PIECES or self.used > IDS:
+            new, at = np.unique(key[missing], return_index=True)
+            where = missing[at]
+            if self.count + len(new) > PIECES or self.used > IDS or self.filled > WORDS:
                 self._reset(1 << 17)
                 new, where = np.unique(key, return_index=True)
-            blob = data.tobytes()
-            self._learn(new, [blob[a:b].decode("utf-8") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            ends = np.append(first[1:], len(word))
+            self._learn(new, text(where), [word[a:b] for a, b in zip(first[where].tolist(), ends[where].tolist(), strict=True)], (end - start)[where])
             slot = self._slot(key)
-        size, at = self.size[slot].astype(np.int64), self.at[slot].astype(np.int64)
+        entry = self.entry[slot]
+        other = self.bytes[entry] != end - start
+        place = np.where(other[span], 0, self.word[entry][span] + np.arange(len(span)) - first[span])
+        other[span[self.words[place] != word]] = True
+        size, at, pool = self.size[entry].astype(np.int64), self.at[entry].astype(np.int64), self.pool
+        if other.any():
+            some = np.flatnonzero(other)
+            flat, own = self._ask(text(some))
+            size[some], at[some], pool = own, self.used + np.cumsum(own) - own, np.append(pool[: self.used], flat)
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
+        ids = pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
         before = np.concatenate([[0], ends])
         return ids, before[np.searchsorted(start, offsets)]
 
 
+def _extended(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with `more` from place `used` on, grown if need be."""
+    if used + len(more) > len(held):
+        held = np.append(held[:used], np.zeros(max(used, 2 * len(more)), held.dtype))
+    held[used : used + len(more)] = more
+    return held
+
+
 _OPEN: dict[str, Encoder] = {}
 
 

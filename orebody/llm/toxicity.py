@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import lower, prefix_hash, ship, span_hash, steps, utf8
+from orebody.llm.common import lower, ship, span_hash, steps, utf8
 from orebody.llm.learn import SAMPLE_ROWS, fit, held_out, sample
 
 #: Weights (a power of two), beginnings of words in bytes, and training documents that a feature needs.
@@ -50,11 +50,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] |= _END[data[:-1]] & ~_END[data[1:]]
     sentence = np.flatnonzero(first)
     row = np.searchsorted(offsets, sentence, side="right") - 1
-    hashes = prefix_hash(data)
-    found, where = [span_hash(hashes, start, end)], [np.arange(len(start))]
+    found, where = [span_hash(data, start, end)], [np.arange(len(start))]
     for k in BEGINNINGS:
         long_ = np.flatnonzero(end - start > k)
-        found.append(span_hash(hashes, start[long_], start[long_] + k) + np.uint64(k))
+        found.append(span_hash(data, start[long_], start[long_] + k) + np.uint64(k))
         where.append(long_)
     words = np.concatenate(where)
     return (np.concatenate(found) & np.uint64(WEIGHTS - 1)).astype(np.int64), np.searchsorted(sentence, start, side="right")[words] - 1, sentence, row
