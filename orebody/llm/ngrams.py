@@ -1,16 +1,24 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
-Texts with equal shingle sets are one node. The sets are put in bands of similar size, the domain of shingle hashes
-is partitioned for each band, and a set's signatures are the hashes of its elements in each partition: linked sets
-agree in some partition. Signatures meet in buckets; the nodes under one signature are a run.
-
-A node of a link shares many signatures with its partner: all its filled partitions but those in which the two may
-differ. Nodes that share fewer signatures with anything have no link and leave. Within the runs of the others,
+Texts with equal shingle sets are one node. The sets are put in bands of similar size. For each band the domain of
+shingle hashes is cut into first-level partitions, at least half as many as the elements in which linked sets of the
+band may differ, and each of these into SECOND second-level ones: linked sets differ in one element at most in some
+first-level partition, so leaving out one of its second-level partitions makes them agree. The signatures of a set are
+the hashes of its elements in every such subset. Signatures meet in buckets; the nodes under one signature are a run.
+
+A node of a link shares many signatures with its partner: all that the elements in which the two may differ can't
+spoil. Nodes that share fewer with anything have no link and leave. Within the runs of the others,
 sketches (a bit for each element's hash) rule out pairs that differ in more bits than linked sets can
 differ in elements. What they leave connects nodes to clusters, of which each run reports a spanning forest only.
-Every link lies in a cluster. A cluster's whole texts come together once, in blocks, and all its pairs are compared
-exactly there, as products of block matrices; the links, again as forests, make the components. No list of a
-group's pairs is ever written, and none is dropped.
+Every link lies in a cluster. In large clusters whole texts are first compared with a few pivots; what these don't
+settle, and all of the small clusters, is compared exactly in blocks, as products of block matrices; the links, again
+as forests, make the components. No list of a group's pairs is ever written, and none is dropped.
+
+Edge cases: null texts, empty ones and those of white space alone have an empty set and are their own component; with
+fewer words than a shingle, all words are one shingle; equal texts are one node whatever their ids; repeated rows stay
+rows; a component's id is its least doc_id that isn't null (null if all are); sets whose size ties a band's edge take
+part in both bands; texts have no limit of length; an empty table gives no rows; other columns are ignored, and
+keep_one() returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import lower, materialize, mix64, prefix_hash, ship, span_hash, steps, utf8, words
+from orebody.llm.common import lower, materialize, mix64, ship, span_hash, steps, utf8, words
 
 #: Words of a shingle, and the threshold as parts of WHOLE.
 LENGTH, PART, WHOLE = 5, 75, 100
 #: Size bands: band c has sets of BAND**c to BAND**(c + 1) - 1 shingles.
 BAND = 2
+#: Second-level partitions of a first-level one; each subset of all but one is a signature.
+SECOND = 3
 #: Entries that a task gathers before it sends them to their buckets; nodes of a run, nodes and shingles of a cluster in
-#: a block; elements a matrix product takes at a time; rows that may be broadcast; tasks for the runs of one leader.
-FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL, DEALT = 1 << 20, 1024, 512, 300_000, 8192, 200_000, 16
+#: a block; elements a matrix product takes at a time; rows that may be broadcast.
+FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL = 1 << 20, 1024, 512, 300_000, 8192, 200_000
 #: Sets that a task gathers at most before it sends their signatures: a set's place is sent as uint16.
 PLACES = 1 << 16
 
@@ -42,7 +52,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     rows = len(offsets) - 1
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    each = span_hash(prefix_hash(data), start, end)
+    each = span_hash(data, start, end)
     n = np.bincount(row, minlength=rows)
     first = np.concatenate([[0], np.cumsum(n)])
     # A shingle begins at each word that has length - 1 more of its row behind it; a shorter row is one shingle.
@@ -72,9 +82,50 @@ def bands(size: np.ndarray) -> list[np.ndarray]:
 
 
 def partitions(band: np.ndarray) -> np.ndarray:
-    """First-level partitions of a band: more than the differences that two linked sets of it can have."""
+    """First-level partitions of a band: no less than half the differences that two linked sets of it can have, and
+    one more; beyond that, as many as make linked sets share a good part of their signatures."""
     most = BAND ** (band + 1) - 1
-    return np.maximum(2 * (WHOLE - PART) * most // (WHOLE + PART) + 1, np.ceil(0.5 * most).astype(np.int64) + 1)
+    differ = 2 * (WHOLE - PART) * most // (WHOLE + PART)
+    return np.maximum(differ // 2 + 1, -(-most // 4) + 1)
+
+
+def _filled(hashes: np.ndarray, offsets: np.ndarray, band: np.ndarray) -> tuple:
+    """The first-level partitions that the sets of a band fill.
+
+    Returns which sets take part, their numbers of first-level partitions, and for each filled one its row, its number,
+    the sums of the mixed elements of its second-level partitions and which of those are filled.
+    """
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    take = (band >= 0) & (size > 0)
+    n = np.where(take, partitions(np.maximum(band, 0)), 1)
+    pick = np.flatnonzero(take[row])
+    h, r = hashes[pick], row[pick]
+    p = ((h >> np.uint64(32)) * n[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    if not len(h):
+        return take, n, r, p, [h] * SECOND, [np.zeros(0, bool)] * SECOND
+    begin = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]))
+    part = (h & np.uint64(0xFFFFFFFF)) * np.uint64(SECOND) >> np.uint64(32)
+    mixed = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
+    sums = [np.add.reduceat(np.where(part == j, mixed, np.uint64(0)), begin) for j in range(SECOND)]
+    full = [np.logical_or.reduceat(part == j, begin) for j in range(SECOND)]
+    return take, n, r[begin], p[begin], sums, full
+
+
+def _need(size: np.ndarray, rows: np.ndarray, full: list[np.ndarray]) -> np.ndarray:
+    """The signatures that each set shares with any linked one, at least; none or less if that isn't certain.
+
+    At most size * (1/t - 1) elements differ: the partner's size and the threshold bound them. In a first-level
+    partition the first of them spoils all but one signature, at most, the second one that, and a partition with one
+    filled second-level partition has just the signatures that the first one spoils.
+    """
+    n = len(size)
+    filled = sum(x.astype(np.int64) for x in full)
+    several = filled > 1
+    total = np.bincount(rows, np.where(several, SECOND, SECOND - 1), minlength=n).astype(np.int64)
+    one, two = np.bincount(rows, minlength=n), np.bincount(rows[several], minlength=n)
+    differ = size * (WHOLE - PART) // PART
+    return total - (SECOND - 1) * np.minimum(differ, one) - np.minimum(np.maximum(differ - one, 0), two)
 
 
 def _tagged(sig: np.ndarray, band: np.ndarray | int) -> np.ndarray:
@@ -83,69 +134,79 @@ def _tagged(sig: np.ndarray, band: np.ndarray | int) -> np.ndarray:
 
 
 def shared_at_least(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set, by the parity of the band: the signatures that it shares with any linked set, at least.
-
-    Of its filled partitions only so many can differ as elements can; 1 where empty partitions have signatures too.
-    """
+    """For each set, by the parity of the band: the signatures that it shares with any linked set, at least; 1 where
+    empty subsets have signatures too."""
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), size)
     out = np.ones((len(size), 2), np.int64)
     for band in bands(size):
-        take = (band >= 0) & (size > 0)
-        n = np.where(take, partitions(np.maximum(band, 0)), 1)
-        p = (hashes >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)
-        key = row.astype(np.uint64) << np.uint64(40) | p
-        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        filled = np.bincount(row[first], minlength=len(size))
+        take, _, rows, _, _, full = _filled(hashes, offsets, band)
+        need = _need(size, rows, full)
         some = np.flatnonzero(take)
-        out[some, band[some] & 1] = np.maximum(1, filled - size * (WHOLE - PART) // PART)[some]
+        out[some, band[some] & 1] = np.maximum(1, need)[some]
     return out
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of all sets, and each one's row.
 
-    A set's elements are dealt to its band's partitions by the upper half of their hashes; a signature is the hash of
-    the elements in one partition. Two linked sets differ in fewer elements than there are partitions, so some
-    partition is alike in both. An empty partition has a signature only for sets of which it may be the only kind
-    that is alike: those with at most as many filled partitions as elements in which they may differ from a partner.
+    A set's elements are dealt to its band's first-level partitions by the upper half of their hashes, to second-level
+    ones by the lower half; a signature is the hash of the elements in all second-level partitions but one. A subset
+    without elements has a signature only for sets of which such may be the only ones that are alike.
     """
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), size)
     out, rows = [], []
     for band in bands(size):
-        take = (band >= 0) & (size > 0)
-        n = np.where(take, partitions(np.maximum(band, 0)), 1)
-        pick = np.flatnonzero(take[row])
-        h, r = hashes[pick], row[pick]
-        if not len(h):
+        take, n, r, p, sums, full = _filled(hashes, offsets, band)
+        if not len(r):
             continue
-        p = (h >> np.uint64(32)) * n[r].astype(np.uint64) >> np.uint64(32)
-        key = r.astype(np.uint64) << np.uint64(40) | p
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), begin)
-        salt = mix64(p[begin] + band[r[begin]].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        out.append(_tagged(mix64(total + salt), band[r[begin]]))
-        rows.append(r[begin])
-        filled = np.bincount(r[begin], minlength=len(size))
-        # At most size * (1/t - 1) elements differ: the partner's size and the threshold bound them.
-        few = np.flatnonzero(take & (filled <= size * (WHOLE - PART) // PART))
-        for i in few.tolist():
-            present = p[begin][r[begin] == i]
-            missing = np.setdiff1d(np.arange(int(n[i]), dtype=np.uint64), present)
-            out.append(_tagged(mix64(mix64(missing + np.uint64(int(band[i]) * 0x2545F4914F6CDD1D % (1 << 64)))), band[i]))
-            rows.append(np.full(len(missing), i))
+        salt = lambda code, b: mix64(code.astype(np.uint64) + b.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        few = np.flatnonzero(take & (_need(size, r, full) < 1))
+        codes = SECOND * n[few]
+        base = np.cumsum(codes) - codes
+        empty = np.ones(int(codes.sum()), bool)
+        of = np.full(len(size), -1)
+        of[few] = base
+        for j in range(SECOND):
+            others = [k for k in range(SECOND) if k != j]
+            some = np.flatnonzero(np.logical_or.reduce([full[k] for k in others]))
+            code = SECOND * p[some] + j
+            total = sum(sums[k][some] for k in others)
+            out.append(_tagged(mix64(total + salt(code, band[r[some]])), band[r[some]]))
+            rows.append(r[some])
+            known = of[r[some]] >= 0
+            empty[of[r[some]][known] + code[known]] = False
+        at = np.flatnonzero(empty)
+        owner = few[np.searchsorted(base, at, side="right") - 1] if len(few) else at
+        out.append(_tagged(mix64(salt(at - of[owner], band[owner])), band[owner]))
+        rows.append(owner)
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def node_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A signed 64-bit id for each set, equal for equal sets; empty sets get 0."""
+def _set_hash(hashes: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
+    """An odd 64-bit hash of each set; empty sets get 0."""
     size = np.diff(offsets)
     full = np.flatnonzero(size)
     out = np.zeros(len(size), np.uint64)
     if len(full):
-        total = np.add.reduceat(mix64(hashes + np.uint64(0x8CB92BA72F3D8DD7)), offsets[full])
+        total = np.add.reduceat(mix64(mix64(hashes + np.uint64(salt)) ^ np.uint64(salt >> 7)), offsets[full])
         out[full] = mix64(total + size[full].astype(np.uint64)) | np.uint64(1)
+    return out
+
+
+def checks(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each set."""
+    return _set_hash(hashes, offsets, 0x9D39247E33776D41).view(np.int64)
+
+
+def node_ids(hashes: np.ndarray, offsets: np.ndarray, clashing: frozenset[int] = frozenset()) -> np.ndarray:
+    """A signed 64-bit id for each set, equal for equal sets; empty sets get 0.
+
+    clashing: ids that different sets have; these sets are named by both hashes instead.
+    """
+    out = _set_hash(hashes, offsets, 0x8CB92BA72F3D8DD7)
+    if clashing:
+        some = np.flatnonzero(np.isin(out.view(np.int64), list(clashing)))
+        out[some] = mix64(out[some] ^ mix64(checks(hashes, offsets).view(np.uint64)[some])) | np.uint64(1)
     return out.view(np.int64)
 
 
@@ -195,17 +256,34 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _describe(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without words), sketch, and need: signatures to share in even and odd bands."""
+def _describe(rows: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
+    """doc_id, n_shingles, node (null without words), its check, sketch, and need: signatures to share in even and odd
+    bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             h, o = shingles(*utf8(batch.column(1)), length)
-            n, node = np.diff(o), node_ids(h, o)
+            n, node = np.diff(o), node_ids(h, o, clashing)
             need = shared_at_least(h, o)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketches(h, o), pa.binary()), pa.array(need[:, 0]), pa.array(need[:, 1])], ["doc_id", "n_shingles", "node", "sketch", "need_0", "need_1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), pa.array(checks(h, o)), pa.array(sketches(h, o), pa.binary()), pa.array(need[:, 0]), pa.array(need[:, 1])], ["doc_id", "n_shingles", "node", "check", "sketch", "need_0", "need_1"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, need_0 long, need_1 long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sketch binary, need_0 long, need_1 long")
+
+
+def _nodes(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """The described rows, their nodes (node, rep, n, sketch, need_0, need_1) and the ids that two sets had.
+
+    Of n sets about n * n / 2**65 pairs have one id: a handful in the largest corpora, named anew by a second hash.
+    """
+    clashing: frozenset[int] = frozenset()
+    while True:
+        info = materialize(_describe(rows, length, clashing), "sets")
+        grouped = info.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.first(x).alias(y) for x, y in (("n_shingles", "n"), ("sketch", "sketch"), ("need_0", "need_0"), ("need_1", "need_1"))))
+        nodes = materialize(grouped, "nodes")
+        more = frozenset(x["node"] for x in nodes.where("c0 <> c1").select("node").toLocalIterator())
+        if not more or more <= clashing:
+            return info, nodes.drop("c0", "c1"), clashing
+        clashing |= more
 
 
 def _partition_keys(rows: DataFrame, parts: int) -> list[int]:
@@ -214,7 +292,7 @@ def _partition_keys(rows: DataFrame, parts: int) -> list[int]:
     return [x["id"] for x in ids.orderBy("part").collect()]  # `parts` rows
 
 
-def _runs(rows: DataFrame, length: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
     """The nodes under one signature, ascending, for all signatures of two nodes at least, the parity of the band, and
     for how many signatures: equal runs are one."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -246,7 +324,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             if held and len(seen) + batch.num_rows > PLACES:
                 yield from flush()
             h, o = shingles(*utf8(batch.column(1)), length)
-            node, size = node_ids(h, o), np.diff(o)
+            node, size = node_ids(h, o, clashing), np.diff(o)
             new = [i for i, x in enumerate(node.tolist()) if size[i] and x not in seen and seen.setdefault(x, len(seen)) >= 0]
             keep = np.zeros(len(node), bool)
             keep[new] = True
@@ -321,12 +399,10 @@ def _forest(node: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(root[rest].tolist(), node[rest].tolist(), strict=True))
 
 
-def _by_group(rows: DataFrame, key: list[str], deal: list[str], work) -> DataFrame:
-    """Deal rows by `deal`, which key decides, and call work(rows of one key, as tuples) -> edges for each key.
-
-    Rows begin with the columns of key; a task gives an edge once."""
+def _by_group(rows: DataFrame, key: list[str], work) -> DataFrame:
+    """Deal rows by key and call work(rows of one key, as tuples) -> edges for each; rows begin with the key's columns."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, *deal).sortWithinPartitions(*deal, *key, "node")
+    dealt = rows.repartition(parts, *key).sortWithinPartitions(*key, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -355,17 +431,16 @@ def _by_group(rows: DataFrame, key: list[str], deal: list[str], work) -> DataFra
 def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the nodes of a run that counts, sizes and sketches don't keep apart.
 
-    Runs are cut into blocks of nodes; each pair of blocks is compared in one place. Runs with one least node are
-    dealt to a few tasks, so that what several of them find is told once.
+    Runs are cut into blocks of nodes; each pair of blocks is compared in one place, dealt by run and blocks.
     """
     c = F.col
-    rows = runs.select(F.xxhash64("nodes", "parity").alias("run"), F.element_at("nodes", 1).alias("leader"), "parity", "times", F.ceil(F.size("nodes") / RUN_BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
+    rows = runs.select(F.xxhash64("nodes", "parity").alias("run"), "parity", "times", F.ceil(F.size("nodes") / RUN_BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
     counts = rows.groupBy("node", "parity").agg(F.sum("times").alias("times"))
     enough = counts.join(nodes, "node").where(c("times") >= F.when(c("parity") == 0, c("need_0")).otherwise(c("need_1")))
     enough = materialize(enough.select("node", "parity", "n", "sketch"), "enough")
     rows = rows.drop("times").join(enough, ["node", "parity"])
     rows = rows.withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch", "leader", (F.pmod("run", F.lit(DEALT))).alias("share"))
+    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         if len(group) < 2:
@@ -387,7 +462,7 @@ def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return _forest(node, _labels(len(group), near))
 
-    return _by_group(rows, ["run", "i", "j"], ["leader", "share"], compare)
+    return _by_group(rows, ["run", "i", "j"], compare)
 
 
 def _linked_pairs(sets: list[np.ndarray], mine: np.ndarray, cross: bool) -> np.ndarray:
@@ -412,7 +487,7 @@ def _linked_pairs(sets: list[np.ndarray], mine: np.ndarray, cross: bool) -> np.n
     return link & (mine[:, None] != mine[None, :]) if cross else link
 
 
-def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
     """Edges (a, b) that connect the linked nodes of each cluster (node, component), by their whole texts' shingles.
 
     A cluster's nodes are dealt to blocks by hash, as many as their number and size ask for; each pair of blocks meets
@@ -434,7 +509,7 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int)
         for a in range(0, len(group), 256):
             some = group[a : a + 256]
             h, o = shingles(*utf8(pa.array([x[5] for x in some], pa.large_string())), length)
-            for i, found in enumerate(node_ids(h, o).tolist()):
+            for i, found in enumerate(node_ids(h, o, clashing).tolist()):
                 if found == some[i][3]:  # else another text under the same id
                     sets[found], block[found] = h[o[i] : o[i + 1]], some[i][4]
         if len(sets) < 2:
@@ -450,7 +525,7 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int)
             label = _labels(len(node), lambda x, ys: link[x, ys])
         return _forest(node, label)
 
-    return materialize(_by_group(texts, ["component", "i", "j"], ["component", "i", "j"], compare), "links")
+    return materialize(_by_group(texts, ["component", "i", "j"], compare), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -477,24 +552,23 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
 
 
-def join(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node), components (node, component) and nodes (node, rep, n).
+def join(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """Rows (doc_id, n_shingles, node), components (node, component), nodes (node, rep, n), and the ids named anew.
 
     Equal sets have one node; every node that has a link to another is in components.
     """
     ship(docs.sparkSession)
     rows = _texts(docs, text)
-    info = materialize(_describe(rows, length), "sets")
-    nodes = materialize(info.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("need_0").alias("need_0"), F.first("need_1").alias("need_1")), "nodes")
-    runs = materialize(_runs(rows, length), "runs")
+    info, nodes, clashing = _nodes(rows, length)
+    runs = materialize(_runs(rows, length, clashing), "runs")
     clusters = components(materialize(_near(runs, nodes), "near"))
-    labels = components(_links(clusters, nodes, rows, length))
-    return info.select("doc_id", "n_shingles", "node"), labels, nodes
+    labels = components(_links(clusters, nodes, rows, length, clashing))
+    return info.select("doc_id", "n_shingles", "node"), labels, nodes, clashing
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """The columns of op4's contract: doc_id, n_shingles, component_id."""
-    info, labels, nodes = join(docs, text, length)
+    info, labels, nodes, _ = join(docs, text, length)
     labels = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labels.join(least, "component").select("node", "component_id")
@@ -507,29 +581,31 @@ def keep_one(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataF
     Of each component the row with the least doc_id stays (a null id counts as least), once if it is repeated; rows
     without words stay. Rows that share a doc_id but not a text are told apart by their shingles.
     """
-    info, labels, _ = join(docs, text, length)
+    info, labels, _, clashing = join(docs, text, length)
     info = info.where("node IS NOT NULL").select("doc_id", "node")
     named = info.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"))
     out = named.join(best, "component").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))))
-    out = materialize(out.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct(), "gone")
+    own = lambda name: next(x for x in (name + "_" * i for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    node_, id_, gone_ = own("node"), own("gone_id"), own("gone_node")
+    out = materialize(out.select(F.col("doc_id").alias(id_), F.col("node").alias(gone_)).distinct(), "gone")
     unique = info.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
     small = out.count() <= SMALL  # 24 bytes a row
     gone = F.broadcast(out) if small else out
     if unique:
-        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_anti")
     at, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
             column = pa.array([None if x is None else str(x) for x in batch.column(at).to_pylist()], pa.string())
-            node = node_ids(*shingles(*utf8(column), length))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=node == 0)], [*batch.schema.names, "__node"])
+            node = node_ids(*shingles(*utf8(column), length), clashing)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=node == 0)], [*batch.schema.names, node_])
 
-    rows = docs.mapInArrow(run, type(schema)([*schema.fields]).add("__node", "long"))
-    rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__node") == F.col("gone_node")), "left_anti")
-    full = rows.where("__node IS NOT NULL").dropDuplicates(["doc_id", "__node"])
-    return full.unionByName(rows.where("__node IS NULL")).drop("__node")
+    rows = docs.mapInArrow(run, type(schema)([*schema.fields]).add(node_, "long"))
+    rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(node_) == F.col(gone_)), "left_anti")
+    full = rows.where(F.col(node_).isNotNull()).dropDuplicates(["doc_id", node_])
+    return full.unionByName(rows.where(F.col(node_).isNull())).drop(node_)
 
 
 def sql(length: int = LENGTH) -> str:

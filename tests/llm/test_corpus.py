@@ -114,6 +114,46 @@ def test_linked_sets_share_a_signature():
             assert np.bitwise_count(ngrams._folded(x, size) ^ ngrams._folded(y, size)).sum() <= ngrams.differ_at_most(len(a), len(b))
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal_stay_apart(spark):
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word), (4, f"{word} {other}"), (5, f"{other} {word}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngrams.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_sets_with_one_hash_are_named_anew(spark, monkeypatch):
+    """Node ids of 3 bits: nearly all sets clash until the second hash names them."""
+    plain = ngrams._set_hash
+    monkeypatch.setattr(ngrams, "_set_hash", lambda h, o, salt: plain(h, o, salt) & np.uint64(7) if salt == 0x8CB92BA72F3D8DD7 else plain(h, o, salt))
+    rows = near_copies(6, bases=5)
+    h, o = ngrams.shingles(*ngrams.utf8(__import__("pyarrow").array([t for _, t in rows])))
+    first = ngrams.node_ids(h, o)
+    clashing = frozenset(first.tolist())
+    renamed, sets = ngrams.node_ids(h, o, clashing).tolist(), [frozenset(h[a:b].tolist()) for a, b in zip(o[:-1], o[1:], strict=True)]
+    assert len(set(first.tolist())) <= 4 and len(set(renamed)) == len(set(sets)) == len(set(zip(renamed, sets, strict=True)))
+
+
+def test_a_signature_need_is_met_by_every_link():
+    rng = np.random.default_rng(7)
+    for n in [*range(1, 30), 64, 100, 300]:
+        for _ in range(10):
+            a = rng.choice(2**62, n, replace=False).astype(np.uint64) * np.uint64(4)
+            b = np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.choice(2**62, int(rng.integers(0, n // 3 + 1)), replace=False).astype(np.uint64) * np.uint64(4)])
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 75 * (len(a) + len(b) - both):
+                continue
+            hashes, offsets = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
+            sig, row = ngrams.signatures(hashes, offsets)
+            need = ngrams.shared_at_least(hashes, offsets).max(axis=0)
+            common = np.intersect1d(sig[row == 0], sig[row == 1])
+            assert any(np.count_nonzero((common & np.uint64(1)) == np.uint64(q)) >= need[q] for q in (0, 1))
+
+
 def test_jaccard_edges(edge, empty, edge_rows):
     got = sorted((tuple(r) for r in ngrams.jaccard_components(edge).collect()), key=key)
     truth = brute([(i, r[1]) for i, r in enumerate(edge_rows)])

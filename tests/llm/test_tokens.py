@@ -138,6 +138,24 @@ def test_encoder_memory_begins_anew(library, monkeypatch):
         assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_with_one_hash_keep_their_own_ids(library, monkeypatch):
+    import pyarrow as pa
+
+    from orebody.llm.common import utf8
+
+    rng = random.Random(8)
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word[:1024]] + [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 30))) for _ in range(60)) for _ in range(20)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = encoder.lane_hash
+    for mask in ((1 << 64) - 1, 31):
+        monkeypatch.setattr(encoder, "lane_hash", lambda *a, mask=mask: plain(*a) & np.uint64(mask))
+        own = encoder.Encoder(BPE)
+        for _ in range(2):
+            ids, offsets = own(*utf8(pa.array(texts)))
+            assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))] == want
+
+
 def test_token_files(spark, edge, empty, edge_rows, library, tmp_path):
     got = [tuple(r) for r in tokens.dataset_digests(edge, BPE, 0).collect()]
     ids = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in edge_rows]
