@@ -6,13 +6,17 @@ the label main or other: a weight for each feature, for each pair of neighbourin
 page's ends. It is trained by gradient ascent of the likelihood (forward-backward) on labelled pages and decoded by
 Viterbi. The labelled pages are composed here, with their labels, from many layouts; callers may bring their own.
 
+Only comments, tags, scripts, styles and the window's title are no blocks; what else stands in a page is for the field
+to judge. Pages of any length are read in time in proportion to it.
+
 Edge cases: null, empty and text-free html give the empty text; unclosed and stray tags, cut-off pages and broken
-character references are read as browsers read them; rows with equal or null ids stay apart; other columns are
-ignored.
+character references are read as browsers read them; rows with equal or null ids stay apart; labels of equal score tie
+for "other"; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,12 +29,16 @@ from pyspark.sql import functions as F
 from orebody.llm.common import ship, steps
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""", re.S)
+#: The same where quotes don't count: from the first tag on whose quotes don't close before the page's end.
+_PLAIN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements whose content is never shown text, and form controls.
-SKIPPED = {"script", "style", "template", "title", "noscript", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "button", "datalist", "head_"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements whose content is no text of the page: code, and the window's title.
+SKIPPED = {"script", "style", "title"}
+#: Form controls: blocks below a form, wherever they stand.
+CONTROLS = {"button", "select", "textarea", "datalist"}
+INLINE = {"a", "abbr", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tspan", "tt", "u", "var", "video", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that end an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -56,6 +64,7 @@ _OF_NAME = {word: i for i, words in enumerate(GROUPS.values()) for word in words
 PARENTS = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "div", "section", "article", "body", "blockquote", "pre", "figcaption", "footer", "header", "nav", "aside", "dt", "dd", "main", "form", "label", "address", "caption", "summary", "other"]
 TEXTS = ["words", "few", "many", "links", "all_links", "stop", "commas", "sign", "first", "last", "one"]
 SIZE = len(ANCESTORS) + len(GROUPS) + len(PARENTS) + len(TEXTS)
+_ENDS = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in SKIPPED}
 _ANCESTOR = {t: 1 << i for i, t in enumerate(ANCESTORS)}
 _PARENT = {t: i for i, t in enumerate(PARENTS)}
 
@@ -84,9 +93,18 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
     seen = {} if seen is None else seen
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open block-level elements and the bits down to them
+    where: dict[str, list[int]] = {}  # each name's places in the stack
+    fences: list[int] = [-1]
     parts: list[str] = []
     linked, links = 0, 0
-    at, n = 0, len(page)
+    at, n, tag = 0, len(page), _TAG
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            name = stack.pop()[0]
+            where[name].pop()
+            if name in FENCES:
+                fences.pop()
 
     def close() -> None:
         nonlocal linked
@@ -99,7 +117,7 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
         linked = 0
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = tag.search(page, at)
         end = m.start() if m else n
         if end > at:
             piece = page[at:end]
@@ -109,7 +127,9 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
         if not m:
             break
         at = m.end()
-        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        slash, name, attributes = m[1], m[2], m[3]
+        if tag is _TAG and m[5]:
+            slash, name, attributes, tag = m[4], m[5], m[6], _PLAIN
         if not name:
             continue
         name = name.lower()
@@ -119,15 +139,12 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
             if name in INLINE or name in VOID:
                 continue
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    links = 0
-                    break
+            if where.get(name):
+                cut(where[name][-1])
+                links = 0
         elif name in SKIPPED:
-            if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                after = re.compile(rf"</{name}\b[^>]*>|</{name}\b[^>]*\Z", re.I).search(page, at)
-                at = after.end() if after else n
+            after = _ENDS[name].search(page, at)
+            at = after.end() if after else n
             parts.append(" ")
         elif name == "a":
             links = 1
@@ -141,15 +158,15 @@ def blocks(page: str, seen: dict[str, int] | None = None) -> list[Block]:
             links = 0
             ended = CLOSES.get(name)
             if ended:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ended:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in FENCES:
-                        break
+                last = max((where[x][-1] for x in ended if where.get(x)), default=-1)
+                if last > fences[-1]:
+                    cut(last)
             elif stack and stack[-1][0] == "p":
-                stack.pop()  # a block-level element ends an open paragraph
-            bits = (stack[-1][1] if stack else 0) | _ANCESTOR.get(name, 0) | (_named(attributes, seen) if attributes else 0)
+                cut(len(stack) - 1)  # a block-level element ends an open paragraph
+            bits = (stack[-1][1] if stack else 0) | _ANCESTOR.get("form" if name in CONTROLS else name, 0) | (_named(attributes, seen) if attributes else 0)
+            where.setdefault(name, []).append(len(stack))
+            if name in FENCES:
+                fences.append(len(stack))
             stack.append((name, bits))
     close()
     return out
@@ -322,13 +339,13 @@ def labelled_pages(count: int = 420, seed: int = 3) -> list[tuple[str, dict[str,
         share = lambda links=links: f'<div class="{pick("share", "social-share", "sharing")}">' + links(2, 5) + "</div>"
         meta = lambda block=block: block(f'{pick("p", "div")} class="{pick("byline", "meta", "author", "post-date", "tags")}"', words(2, 8), 0)
         related = lambda links=links, block=block: f'<{(t := pick("div", "aside", "section"))} class="{pick("related", "recommended", "more", "popular")}">' + block("h3", words(1, 4), 0) + pick(links(2, 6), block("p", prose(4, 30), 0)) + f"</{t}>"
-        notice = lambda block=block: f'<div {pick("class", "id")}="{pick("cookie-notice", "consent", "newsletter", "notice", "gdpr-banner", "paywall", "alert", "popup")}">' + block("p", prose(4, 40), 0) + pick("", "<button>OK</button>") + "</div>"
+        notice = lambda block=block: f'<div {pick("class", "id")}="{pick("cookie-notice", "consent", "newsletter", "notice", "gdpr-banner", "paywall", "alert", "popup")}">' + block("p", prose(4, 40), 0) + pick("", block("button", words(1, 3), 0)) + "</div>"
         nav = lambda links=links: pick("<nav>{}</nav>", '<div class="menu">{}</div>', '<div id="navigation">{}</div>', '<ul class="breadcrumb">{}</ul>', '<header><nav>{}</nav></header>').format(links(2, 9))
         header = lambda block=block: pick("<header>{}</header>", '<div class="header">{}</div>', '<div id="masthead">{}</div>').format(block(pick("h1", "div", "p", "h2"), pick(words(1, 5), prose(3, 12)), 0) + pick("", block("p", prose(3, 15), 0)))
         footer = lambda block=block, links=links: pick("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="footer">{}</div>').format(pick("", links(1, 5)) + pick(block("p", "© " + prose(2, 14), 0), block("div", "© " + words(1, 3) + " · " + prose(3, 14), 0), block("p", prose(3, 30), 0)))
         side = lambda block=block, links=links: pick("<aside>{}</aside>", '<div class="sidebar">{}</div>', '<div class="widget">{}</div>').format(block("h3", words(1, 4), 0) + pick(links(2, 6), block("p", prose(5, 60), 0), ""))
         comments = lambda block=block: pick('<section class="comments">{}</section>', '<div id="comments">{}</div>', '<div class="comment-list">{}</div>', '<ol class="replies">{}</ol>').format(block("h3", words(1, 4), 0) + "".join(block(pick("p", "p", 'div class="comment"'), prose(3, 70), 0) for _ in range(int(rng.integers(1, 5)))))
-        form = lambda block=block: '<form action="/s">' + block("p", words(1, 6), 0) + "<input name=q><button>go</button></form>"
+        form = lambda block=block: '<form action="/s">' + block("p", words(1, 6), 0) + "<input name=q>" + block("button", words(1, 3), 0) + "</form>"
 
         shell = pick("<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post entry">{}</div>', "<main><article>{}</article></main>", '<section class="story">{}</section>', "<div>{}</div>", "{}", '<div class="article-body">{}</div>')
         inner = content()
@@ -353,11 +370,17 @@ def fit_extractor(pages: list[tuple[str, dict[str, int]]] | None = None) -> dict
     return train(rows)
 
 
+@functools.cache
+def default_weights() -> dict[str, np.ndarray]:
+    """The weights fitted to the composed pages, once in a process: they depend on nothing else."""
+    return fit_extractor()
+
+
 def main_text(table: DataFrame, html: str = "html", weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """The columns of op3's contract: page_id, url, text and its code points."""
     spark = table.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(fit_extractor() if weights is None else weights)  # SIZE numbers and a few more
+    sent = spark.sparkContext.broadcast(default_weights() if weights is None else weights)  # SIZE numbers and a few more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = Extractor(sent.value)

@@ -162,6 +162,21 @@ def test_viterbi_is_the_best_labelling(weights):
         assert abs(value(best) - value(tuple(extract.labels(found)))) < 1e-6
 
 
+def test_only_code_and_the_title_are_no_blocks(weights):
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><article><h1>A title of it</h1><p>The formula <math><mi>x</mi></math> holds, as is well known to all.</p><noscript><p>A paragraph for readers without scripts, of some length.</p></noscript><script>var a;</script><p>And <svg><text>here</text></svg> it ends.</p></article><form><button>Go</button></form><footer>© Foot, all rights.</footer>"
+    assert pages.Extractor(weights)(page) == "A title of it The formula x holds, as is well known to all. A paragraph for readers without scripts, of some length. And here it ends."
+    assert [b[0] for b in pages.blocks("<div>a<iframe>b</iframe><object>c</object><template>d</template></div>")] == ["a", "bc", "d"]
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 40_000 + "</x>" * 40_000, "<foo>" * 40_000 + "<p></p>" * 40_000, '<a "x>" ' * 50_000, "<li><div>" + "<foo>" * 20_000 + "<li></li>" * 20_000):
+        pages.blocks(page)
+    assert time.time() - began < 30
+
+
 def test_page_edges(spark, weights):
     page = "<nav><a href=x>Menu</a></nav><article><h1>A &amp; B&nbsp;c</h1><p>Some <b>bold</b>\n text,<br>and more of it here.<p>Unclosed paragraph with some words &lt;x&gt;.</article><footer>© Foot, all rights.</footer>"
     rows = [(1, "u", page, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p>" * 3000, "t"), (5, "u", "no markup at all, only words.", "t"), (None, "u", "<script>x</script", "t"), (1, "u", page, "t"), (6, "u", "<div><p>" + "Very long words, again. " * 20000, "t"), (7, "u", "<!-- never closed <p>a</p>", "t"), (8, "u", "<a <b> & &# &#x110000; <", "t")]
