@@ -15,6 +15,7 @@ estimates; repeated or null doc_ids stay apart as rows; other columns are ignore
 from __future__ import annotations
 
 import re
+from math import fsum, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def _let(value: Column, body) -> Column:
 def counts(docs: DataFrame, text: str = "text", key: Column | None = None) -> DataFrame:
     """key (named key; doc_id if none is given) and the counts of each whole text: COUNTS and MORE.
 
-    Windows of three words are compared by their hashes, of which all bits but those that number the text's words
-    are kept (49 at 20,000 words): sorted with their places in the low bits, equal windows stand side by side.
+    Windows of three words are first compared by their hashes, of which all bits but those that number the text's
+    words are kept (49 at 20,000 words): sorted with their places in the low bits, equal windows stand side by side.
+    The windows that this finds are then sorted and compared by their words.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     name = "doc_id" if key is None else "key"
@@ -71,8 +73,9 @@ def counts(docs: DataFrame, text: str = "text", key: Column | None = None) -> Da
     )
     none = F.element_at("words", 1) == ""
     rows = rows.select(
-        name, "n_symbols", "n_capitals", "n_shouts",
+        name, "n_symbols", "n_capitals", "n_shouts", "words",
         F.when(none, F.lit(0)).otherwise(F.size("words")).alias("n"),
+        F.size(F.filter("words", lambda x, i: x == F.get("words", i - 1))).cast("long").alias("n_doubled"),
         F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -80,15 +83,20 @@ def counts(docs: DataFrame, text: str = "text", key: Column | None = None) -> Da
     )
     bits = F.coalesce(F.ceil(F.log2(F.col("n") + 1)).cast("int"), F.lit(1))
     kept = [x for x in rows.columns if x not in ("n", "h")]
-    rows = rows.select(*kept, F.col("n"), bits.alias("bits"), "h", F.size(F.filter("h", lambda x, i: x == F.get("h", i - 1))).cast("long").alias("n_doubled"))
-    kept.append("n_doubled")
+    rows = rows.select(*kept, F.col("n"), bits.alias("bits"), "h")
     cut = lambda x: F.call_function("shiftright", x, F.col("bits"))
     window = lambda x, i: F.call_function("shiftleft", cut(F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))), F.col("bits")).bitwiseOR(i.cast("long"))
     windows = F.sort_array(F.transform(F.slice("h", F.lit(1), F.greatest(F.col("n") - 2, F.lit(0))), window))
     rows = rows.select(*kept, "n", "bits", windows.alias("w"))
     twin = lambda x, i: (cut(x) == cut(F.get("w", i - 1))) | (cut(x) == cut(F.get("w", i + 1)))
-    places = F.sort_array(F.transform(F.filter("w", twin), lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)))
-    rows = rows.select(*kept, "n", places.alias("p"))
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int")
+    rows = rows.select(*kept, "n", F.transform(F.filter("w", twin), place).alias("p"))
+    own = lambda i: F.struct(*(F.get("words", i + k).alias(f"w{k}") for k in range(3)), i.cast("long").alias("i"))
+    rows = rows.select(*kept, "n", F.sort_array(F.transform("p", own)).alias("w"))
+    kept.remove("words")
+    same = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    alike = F.filter("w", lambda x, i: same(x, F.get("w", i - 1)) | same(x, F.get("w", i + 1)))
+    rows = rows.select(*kept, "n", F.sort_array(F.transform(alike, lambda x: x["i"])).alias("p"))
     covered = F.aggregate("p", F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(i - a["last"], F.lit(3))).alias("n")))
     return rows.select(name, F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered["n"].alias("n_repeat_words"), *MORE)
 
@@ -102,7 +110,7 @@ def _likelihood(votes: dict[str, str], share: float, rates: dict[str, tuple[floa
 
 
 class LabelModel:
-    """Rates of the rules' votes by class; fit() runs EM with one small aggregation over the patterns a step."""
+    """Rates of the rules' votes by class; fit() counts the patterns of votes in one job and runs EM over them."""
 
     def __init__(self, rules: dict[str, str] = RULES):
         self.rules, self.votes = rules, {r: f"v_{r}" for r in rules}
@@ -118,23 +126,22 @@ class LabelModel:
         return g / (g + b)
 
     def fit(self, voted: DataFrame, iterations: int = ITERATIONS) -> LabelModel:
-        patterns = materialize(voted.groupBy(*self.votes.values()).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-        for _ in range(iterations):
-            rows = patterns.select("*", self.posterior().alias("p"))
-            sums = [F.sum(F.col("n")).alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
-            for r, v in self.votes.items():
-                for k in (1, 0):
-                    hit = F.when(F.col(v) == k, F.col("n")).otherwise(0)
-                    sums += [F.sum(hit * F.col("p")).alias(f"g_{r}_{k}"), F.sum(hit).alias(f"n_{r}_{k}")]
-            x = rows.agg(*sums).first()
-            if not x["all"]:
-                break
-            good, bad = x["good"], x["all"] - x["good"]
-            self.prior = min(0.99, max(0.01, (good + 1) / (x["all"] + 2)))
-            for r in self.rules:  # one vote of each kind more, so that no rate is 0 or 1
-                g1, g0 = x[f"g_{r}_1"], x[f"g_{r}_0"]
-                self.good[r] = ((g1 + 1) / (good + 3), (g0 + 1) / (good + 3))
-                self.bad[r] = ((x[f"n_{r}_1"] - g1 + 1) / (bad + 3), (x[f"n_{r}_0"] - g0 + 1) / (bad + 3))
+        # At most 3**rules rows, whatever the size of the corpus.
+        patterns = [(row["n"], [row[v] for v in self.votes.values()]) for row in voted.groupBy(*self.votes.values()).agg(F.count("*").alias("n")).collect()]
+        total = sum(n for n, _ in patterns)
+        for _ in range(iterations if total else 0):
+            chance = lambda votes, share, rates: prod((y if v == 1 else n if v == 0 else 1 - y - n for v, (y, n) in zip(votes, rates.values(), strict=True)), start=share)
+            weighed = []
+            for n, votes in patterns:
+                g, b = chance(votes, self.prior, self.good), chance(votes, 1 - self.prior, self.bad)
+                weighed.append((n, n * g / (g + b), votes))
+            good = fsum(g for _, g, _ in weighed)
+            bad = total - good
+            self.prior = min(0.99, max(0.01, (good + 1) / (total + 2)))
+            for j, r in enumerate(self.rules):  # one vote of each kind more, so that no rate is 0 or 1
+                of = {k: (fsum(g for _, g, v in weighed if v[j] == k), sum(n for n, _, v in weighed if v[j] == k)) for k in (1, 0)}
+                self.good[r] = tuple((of[k][0] + 1) / (good + 3) for k in (1, 0))
+                self.bad[r] = tuple((of[k][1] - of[k][0] + 1) / (bad + 3) for k in (1, 0))
         return self
 
 
