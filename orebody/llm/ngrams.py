@@ -41,6 +41,8 @@ SECOND = 3
 #: Entries that a task gathers before it sends them to their buckets; nodes of a run, nodes and shingles of a cluster in
 #: a block; elements a matrix product takes at a time; rows that may be broadcast.
 FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL = 1 << 20, 1024, 512, 300_000, 8192, 200_000
+#: Nodes of a large cluster that are compared with all others of it before blocks are.
+PIVOTS = 3
 #: Sets that a task gathers at most before it sends their signatures: a set's place is sent as uint16.
 PLACES = 1 << 16
 
@@ -82,11 +84,13 @@ def bands(size: np.ndarray) -> list[np.ndarray]:
 
 
 def partitions(band: np.ndarray) -> np.ndarray:
-    """First-level partitions of a band: no less than half the differences that two linked sets of it can have, and
-    one more; beyond that, as many as make linked sets share a good part of their signatures."""
+    """First-level partitions of a band: one more than half the differences that two linked sets of it can have.
+
+    Then two differences in each would be more than there are, so one partition has one at most. More partitions only
+    make signatures of fewer elements.
+    """
     most = BAND ** (band + 1) - 1
-    differ = 2 * (WHOLE - PART) * most // (WHOLE + PART)
-    return np.maximum(differ // 2 + 1, -(-most // 4) + 1)
+    return 2 * (WHOLE - PART) * most // (WHOLE + PART) // 2 + 1
 
 
 def _filled(hashes: np.ndarray, offsets: np.ndarray, band: np.ndarray) -> tuple:
@@ -374,12 +378,11 @@ def _runs(rows: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
     return sent.repartition(parts, "bucket").mapInArrow(meet, "nodes array<long>, parity int, times long").groupBy("nodes", "parity").agg(F.sum("times").alias("times"))
 
 
-def _labels(count: int, near) -> np.ndarray:
-    """Labels of connected places 0..count-1: near(x, ys) says which of the later places ys x is connected to.
-
-    Pairs that are connected already aren't asked for."""
-    label = np.arange(count)
-    for x in range(count - 1):
+def _labels(label: np.ndarray, near) -> np.ndarray:
+    """The labels of places that have one already, joined where near(x, ys) says which of the later places ys x is
+    connected to. Pairs that are connected already aren't asked for."""
+    label = np.unique(label, return_inverse=True)[1]
+    for x in range(len(label) - 1):
         ys = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
         if len(ys):
             hit = ys[near(x, ys)]
@@ -389,12 +392,14 @@ def _labels(count: int, near) -> np.ndarray:
     return label
 
 
-def _forest(node: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from the least node of each label to the others."""
+def _forest(node: np.ndarray, before: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the groups of the labels before to those of the labels now: one from each group but the first."""
+    _, first = np.unique(before, return_index=True)
+    node, label = node[first], label[first]
     order = np.lexsort((node, label))
     node, label = node[order], label[order]
-    first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-    root = np.repeat(node[first], np.diff(np.append(first, len(node))))
+    begin = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    root = np.repeat(node[begin], np.diff(np.append(begin, len(node))))
     rest = np.flatnonzero(root != node)
     return list(zip(root[rest].tolist(), node[rest].tolist(), strict=True))
 
@@ -406,13 +411,10 @@ def _by_group(rows: DataFrame, key: list[str], work) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        known: set[tuple[int, int]] = set()
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = [x for x in work(held) if x not in known]
-            if len(known) > 1_000_000:
-                known.clear()
-            known.update(found)
+            found = work(held)
+            held.clear()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
@@ -420,7 +422,6 @@ def _by_group(rows: DataFrame, key: list[str], work) -> DataFrame:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if held and held[0][: len(key)] != row[: len(key)]:
                     yield from out()
-                    held.clear()
                 held.append(row)
         if held:
             yield from out()
@@ -428,19 +429,59 @@ def _by_group(rows: DataFrame, key: list[str], work) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (node, ...) with label: the node's component by the edges, or the node itself."""
+    own = components(edges).withColumnRenamed("component", "own")
+    return rows.join(own, "node", "left").withColumn("label", F.coalesce("own", "node")).drop("own")
+
+
+def _open(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of groups that have several labels."""
+    several = rows.groupBy(group).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(group)
+    return rows.join(several, group, "left_semi")
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, sketch_a, n_b, sketch_b) that sizes and sketches don't keep apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, x, n_b, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                if min(n_a[i], n_b[i]) * WHOLE < PART * max(n_a[i], n_b[i]):
+                    continue
+                u, v = (z if len(z) == m else _folded(z, m).tobytes() for m in (min(len(x[i]), len(y[i])),) for z in (x[i], y[i]))
+                if (int.from_bytes(u) ^ int.from_bytes(v)).bit_count() <= differ_at_most(n_a[i], n_b[i]):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], pa.int64()) for z in (a, b)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the nodes of a run that counts, sizes and sketches don't keep apart.
 
-    Runs are cut into blocks of nodes; each pair of blocks is compared in one place, dealt by run and blocks.
+    Each run's least node is compared with the others first, once for all runs that it leads. Runs whose nodes are
+    connected then are done. The rest are cut into blocks of nodes; each pair of blocks is compared in one place, and
+    there only nodes that aren't connected.
     """
     c = F.col
-    rows = runs.select(F.xxhash64("nodes", "parity").alias("run"), "parity", "times", F.ceil(F.size("nodes") / RUN_BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
+    rows = runs.select(F.xxhash64("nodes", "parity").alias("run"), "parity", "times", F.explode("nodes").alias("node"))
     counts = rows.groupBy("node", "parity").agg(F.sum("times").alias("times"))
     enough = counts.join(nodes, "node").where(c("times") >= F.when(c("parity") == 0, c("need_0")).otherwise(c("need_1")))
     enough = materialize(enough.select("node", "parity", "n", "sketch"), "enough")
-    rows = rows.drop("times").join(enough, ["node", "parity"])
-    rows = rows.withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    rows = rows.select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch")
+    rows = materialize(rows.join(enough.select("node", "parity"), ["node", "parity"], "left_semi").select("run", "node"), "members")
+    known = enough.select("node", "n", "sketch").dropDuplicates(["node"])
+    leader = rows.groupBy("run").agg(F.min("node").alias("a"))
+    pairs = rows.join(leader, "run").where("a <> node").select("a", c("node").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(known.select(c("node").alias(x), c("n").alias(f"n_{x}"), c("sketch").alias(f"sketch_{x}")), x)
+    star = materialize(_close(pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")), "star")
+    rest = materialize(_open(_labelled(rows, star), "run"), "rest")
+    size = rest.groupBy("run").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(size, "run").withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    rest = rest.join(known, "node").select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch", "label")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         if len(group) < 2:
@@ -448,7 +489,7 @@ def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
         group = sorted(group, key=lambda x: x[5])
         least = min(len(x[6]) for x in group)
         bits = np.stack([_folded(x[6], least) for x in group]).view(np.uint64)
-        node, block, n = (np.array([x[k] for x in group]) for k in (3, 4, 5))
+        node, block, n, before = (np.array([x[k] for x in group]) for k in (3, 4, 5, 7))
         end = np.searchsorted(n, n * WHOLE // PART, side="right")
         cross = group[0][1] != group[0][2]
 
@@ -460,13 +501,13 @@ def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
             at[at] = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1, dtype=np.int64) <= differ_at_most(n[some], n[x])
             return at
 
-        return _forest(node, _labels(len(group), near))
+        return _forest(node, before, _labels(before, near))
 
-    return _by_group(rows, ["run", "i", "j"], compare)
+    return star.unionByName(_by_group(rest, ["run", "i", "j"], compare))
 
 
-def _linked_pairs(sets: list[np.ndarray], mine: np.ndarray, cross: bool) -> np.ndarray:
-    """Which of the sets are linked, exactly: a symmetric matrix. cross: only sets of different blocks are compared."""
+def _linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are linked, exactly: a symmetric matrix."""
     size = np.array([len(x) for x in sets])
     value, of = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), size)
@@ -484,50 +525,82 @@ def _linked_pairs(sets: list[np.ndarray], mine: np.ndarray, cross: bool) -> np.n
     both = both.astype(np.int64)
     link = WHOLE * both >= PART * (size[:, None] + size[None, :] - both)
     np.fill_diagonal(link, False)
-    return link & (mine[:, None] != mine[None, :]) if cross else link
+    return link
 
 
-def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
-    """Edges (a, b) that connect the linked nodes of each cluster (node, component), by their whole texts' shingles.
+def _compared(asked: DataFrame, docs: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
+    """Edges that join the linked nodes of each group (component, i, j) of asked, by their whole texts' shingles.
 
-    A cluster's nodes are dealt to blocks by hash, as many as their number and size ask for; each pair of blocks meets
-    in one place.
+    Two nodes are compared if one of them is `left` and their labels differ.
     """
-    c = F.col
-    rows = clusters.join(nodes.select("node", "rep", "n"), "node")
-    size = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / NODE_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node"), c("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    asked = materialize(rows.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "rep"), "asked")
-    small = asked.count() <= SMALL  # 48 bytes a row
+    asked = materialize(asked.select("component", "i", "j", "node", "left", "label", "rep"), "asked")
+    small = asked.count() <= SMALL  # 56 bytes a row
     texts = docs.join(F.broadcast(asked) if small else asked, docs["doc_id"].eqNullSafe(asked["rep"]))
-    texts = texts.select("component", "i", "j", "node", "mine", "text")
+    texts = texts.select("component", "i", "j", "node", "left", "label", "text")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         sets: dict[int, np.ndarray] = {}
-        block: dict[int, int] = {}
+        left: dict[int, bool] = {}
+        label: dict[int, int] = {}
         for a in range(0, len(group), 256):
             some = group[a : a + 256]
-            h, o = shingles(*utf8(pa.array([x[5] for x in some], pa.large_string())), length)
+            h, o = shingles(*utf8(pa.array([x[6] for x in some], pa.large_string())), length)
             for i, found in enumerate(node_ids(h, o, clashing).tolist()):
                 if found == some[i][3]:  # else another text under the same id
-                    sets[found], block[found] = h[o[i] : o[i + 1]], some[i][4]
+                    sets[found], label[found] = h[o[i] : o[i + 1]], some[i][5]
+                    left[found] = left.get(found, False) or some[i][4]
         if len(sets) < 2:
             return []
         node = np.array(sorted(sets))
-        cross = group[0][1] != group[0][2]
-        if len(node) < 6:
-            of = [sets[x] for x in node.tolist()]
-            where = [block[x] for x in node.tolist()]
-            label = _labels(len(node), lambda x, ys: np.array([(not cross or where[x] != where[y]) and linked(of[x], of[y]) for y in ys.tolist()]))
+        of = [sets[x] for x in node.tolist()]
+        mine, before = np.array([left[x] for x in node.tolist()]), np.array([label[x] for x in node.tolist()])
+        if len(node) >= 6 and mine.sum() > 1:
+            link = _linked_pairs(of)
+            near = lambda x, ys: link[x, ys] & (mine[x] | mine[ys])
         else:
-            link = _linked_pairs([sets[x] for x in node.tolist()], np.array([block[x] for x in node.tolist()]), cross)
-            label = _labels(len(node), lambda x, ys: link[x, ys])
-        return _forest(node, label)
+            near = lambda x, ys: np.array([bool(mine[x] or mine[y]) and linked(of[x], of[y]) for y in ys.tolist()])
+        return _forest(node, before, _labels(before, near))
 
     return materialize(_by_group(texts, ["component", "i", "j"], compare), "links")
 
 
+def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int, clashing: frozenset[int]) -> DataFrame:
+    """Edges (a, b) that connect the linked nodes of each cluster (node, component), by their whole texts' shingles.
+
+    The nodes of a small cluster meet in one place. A large one is dealt to as many blocks as its number of nodes and
+    their size ask for. Its PIVOTS come first: one node goes to every block and is compared with all, so that a group
+    of near copies is connected by texts that are sent once. If nodes are left that aren't connected with the
+    cluster's largest part, these, in blocks of their own, are compared with all others.
+    """
+    c = F.col
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / NODE_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).cast("int")
+    place = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    zero = F.lit(0)
+    rows = clusters.join(nodes.select("node", "rep", "n"), "node").withColumn("label", c("node"))
+    rows = materialize(rows.join(rows.groupBy("component").agg(blocks().alias("blocks")), "component"), "clusters")
+    small = rows.where("blocks = 1").select("component", zero.alias("i"), zero.alias("j"), "node", F.lit(True).alias("left"), "label", "rep")
+    edges = _compared(small, docs, length, clashing)
+    large = rows.where("blocks > 1")
+    for k in range(PIVOTS):
+        if large.isEmpty():
+            return edges
+        ends = (F.min if k == 0 else F.max)(F.struct("label", "node", "rep"))
+        pivot = large.groupBy("component").agg(ends.alias("p"), F.max("blocks").alias("blocks"))
+        pivot = pivot.select("component", zero.alias("i"), F.explode(F.sequence(zero, c("blocks") - 1)).alias("j"), c("p.node").alias("node"), F.lit(True).alias("left"), c("p.label").alias("label"), c("p.rep").alias("rep"))
+        others = large.join(pivot.where("j = 0").select("component", c("label").alias("own")), "component").where("label <> own")
+        others = others.select("component", zero.alias("i"), place(c("blocks")).alias("j"), "node", F.lit(False).alias("left"), "label", "rep")
+        edges = edges.unionByName(_compared(pivot.unionByName(others), docs, length, clashing))
+        large = materialize(_open(_labelled(large.drop("label"), edges), "component"), "large")
+    parts = large.groupBy("component", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    main = parts.groupBy("component").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
+    large = large.join(main, "component").withColumn("left", c("label") != c("main"))
+    rest = large.where("left").groupBy("component").agg(blocks().alias("rest"))
+    large = large.join(rest, "component")
+    left = large.where("left").select("component", place(c("rest")).alias("i"), F.explode(F.sequence(zero, c("blocks") - 1)).alias("j"), "node", "left", "label", "rep")
+    right = large.select("component", F.explode(F.sequence(zero, c("rest") - 1)).alias("i"), place(c("blocks")).alias("j"), "node", F.lit(False).alias("left"), "label", "rep")
+    return edges.unionByName(_compared(left.unionByName(right), docs, length, clashing))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of each node of an undirected graph's edges (a, b).
 

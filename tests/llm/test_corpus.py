@@ -77,9 +77,11 @@ def test_components_against_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
 
 
-def test_components_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_components_in_small_blocks(spark, monkeypatch, pivots):
     monkeypatch.setattr(ngrams, "RUN_BLOCK", 3)
     monkeypatch.setattr(ngrams, "NODE_BLOCK", 4)
+    monkeypatch.setattr(ngrams, "PIVOTS", pivots)
     monkeypatch.setattr(ngrams, "SMALL", 0)
     rows = near_copies(3, bases=5, copies=14)
     got = ngrams.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -335,6 +337,15 @@ def test_counts_and_base(edge, empty, edge_rows):
     assert rules.judge(empty).collect() == []
 
 
+def test_windows_of_very_long_texts_are_compared_by_their_words(spark):
+    n = 2_500_000
+    docs = spark.range(1).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, {n}), i -> hex(i)), ' ') AS text")
+    row = rules.counts(docs).first()
+    assert (row["n_words"], row["n_repeat_words"], row["n_doubled"]) == (n, 0, 0)
+    cycle = spark.createDataFrame([(1, "a b c d " * 3 + "x a b y c d a"), (2, "a " * 9)], "doc_id long, text string")
+    assert [r["n_repeat_words"] for r in rules.counts(cycle).orderBy("doc_id").collect()] == [plain_counts(t)[4] for _, t in [tuple(r) for r in cycle.collect()]]
+
+
 def test_em_against_plain_python(spark, corpus):
     docs, _ = corpus
     voted = rules.LabelModel().vote(rules.counts(docs)).cache()
