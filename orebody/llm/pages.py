@@ -38,7 +38,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SKIPPED = {"script", "style", "title"}
 #: Form controls: blocks below a form, wherever they stand.
 CONTROLS = {"button", "select", "textarea", "datalist"}
-INLINE = {"a", "abbr", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tspan", "tt", "u", "var", "video", "wbr"}
+INLINE = {"a", "abbr", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "text", "time", "tspan", "tt", "u", "var", "video", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that end an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}

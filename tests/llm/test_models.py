@@ -165,7 +165,7 @@ def test_viterbi_is_the_best_labelling(weights):
 def test_only_code_and_the_title_are_no_blocks(weights):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><article><h1>A title of it</h1><p>The formula <math><mi>x</mi></math> holds, as is well known to all.</p><noscript><p>A paragraph for readers without scripts, of some length.</p></noscript><script>var a;</script><p>And <svg><text>here</text></svg> it ends.</p></article><form><button>Go</button></form><footer>© Foot, all rights.</footer>"
     assert pages.Extractor(weights)(page) == "A title of it The formula x holds, as is well known to all. A paragraph for readers without scripts, of some length. And here it ends."
-    assert [b[0] for b in pages.blocks("<div>a<iframe>b</iframe><object>c</object><template>d</template></div>")] == ["a", "bc", "d"]
+    assert [b[0] for b in pages.blocks("<div>a<iframe>b</iframe><object>c</object><template>d</template></div>")] == ["a", "b", "c", "d"]
 
 
 def test_pages_are_read_in_linear_time():
