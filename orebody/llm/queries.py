@@ -39,7 +39,7 @@ def op5_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=1984)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,13 +225,46 @@ def test_packer(limits):
     for e, start, n, s, _ in rows:
         bearing[s] = bearing.get(s, 0) + max(0, start + n - max(start, int(prompt[e])))
     assert max(bearing.values()) <= limits[2]
-    if limits[1] * 16 >= limits[0] and limits[2] >= limits[0]:
-        used = [sum(n for _, n in x) for x in sequences.values()]
-        assert sum(limits[0] - u for u in used if u & (u - 1)) <= 0.05 * sum(used)
+    used = [sum(n for _, n in x) for x in sequences.values()]
+    assert all(u == limits[0] or u & (u - 1) == 0 for u in used)
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 17, 20])
+def test_sequences_of_very_short_examples_need_no_padding(size):
+    p = packing.Packer(2048, 64, 1984)
+    for a in range(0, 6000, 1000):
+        p.add(np.arange(a, a + 1000), np.full(1000, size), np.ones(1000, np.int64))
+        p.fill(256)
+    p.finish()
+    sequences, sizes = check_packing(p.taken(), (2048, 64))
+    assert sizes == dict.fromkeys(range(6000), size)
+    used = [sum(n for _, n in x) for x in sequences.values()]
+    assert all(u == 2048 or u & (u - 1) == 0 for u in used) and np.mean(used) >= min(2048, 32 * size)
+
+
+def test_the_loss_limit_decides():
+    """Eight long examples without prompts and eight of prompts alone: each full sequence needs both."""
+    p = packing.Packer(64, 8, 48)
+    p.add(np.arange(16), np.array([48] * 8 + [16] * 8), np.array([0] * 8 + [16] * 8))
+    p.fill(0)
+    sequences, _ = check_packing(p.taken(), (64, 8))
+    assert [sorted(n for _, n in x) for x in sequences.values()] == [[16, 48]] * 8
+    p.add(np.arange(3), np.full(3, 64), np.zeros(3, np.int64))
+    p.finish()
+    assert all(sum(n for _, n in x) <= 32 for x in check_packing(p.taken(), (64, 8))[0].values())
+
+
+def test_prompts_are_first_lines():
+    import pyarrow as pa
+
+    from orebody.llm.common import utf8
+
+    texts = ["", "one line", "head\nbody", " \n\nhead here\n\n body\nmore", "head\n \n", "ä\nb", "\n", "x\ny"]
+    assert packing.prompts(*utf8(pa.array(texts))).tolist() == [0, 0, 5, 13, 0, 3, 0, 2]
 
 
 def test_pack_documents(spark, edge, empty, edge_rows, library):
-    got = packing.pack_documents(edge, BPE, end_id=1, tokens=256, segments=16, loss=256, with_ids=True).collect()
+    got = packing.pack_documents(edge, BPE, end_id=1, tokens=256, segments=16, loss=240, with_ids=True).collect()
     ids = sorted(((r[0] is None, r[0] or 0), library.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in edge_rows)
     total = {}
     for r in got:
@@ -245,9 +278,11 @@ def test_pack_documents(spark, edge, empty, edge_rows, library):
         if sum(a == (none, i) for a, _ in ids) == 1:
             assert [t for _, x in sorted(pieces) for t in x] == want
     assert sum(r["length"] for r in got) == sum(len(x) for _, x in ids)
-    used = {}
+    used, bearing = {}, {}
     for r in got:
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+        bearing[r["sequence_id"]] = bearing.get(r["sequence_id"], 0) + r["loss"]
+    assert max(bearing.values()) <= 240 and all(n == 256 or n & (n - 1) == 0 for n in used.values())
     assert max(used.values()) <= 256 and sum(256 - u for u in used.values() if u & (u - 1)) <= 0.02 * sum(used.values())
     assert packing.pack_documents(empty, BPE).collect() == []
 
