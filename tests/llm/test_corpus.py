@@ -192,12 +192,19 @@ def test_components_of_a_long_path(spark):
 # Mixing
 
 
+def scatter(v):
+    return v % mixing.PRIME * mixing.FIRST % mixing.PRIME * mixing.SECOND % mixing.PRIME
+
+
+def mixed(v):
+    return scatter(scatter(v) + (v >> 31))
+
+
 def swap_or_not(x, n, seed):
-    scatter = lambda v: v % mixing.PRIME * mixing.FIRST % mixing.PRIME * mixing.SECOND % mixing.PRIME
     for i in range(mixing.ROUNDS):
-        k = scatter(seed * mixing.ROUNDS + i)
-        partner = (k % n - x + n) % n
-        if (scatter(k + max(x, partner)) >> 13) % 2:
+        one = scatter(seed * mixing.ROUNDS + i)
+        partner = ((one * 2**31 + scatter(one + 1)) % n - x + n) % n
+        if (mixed(one + max(x, partner)) >> 13) % 2:
             x = partner
     return x
 
@@ -230,7 +237,8 @@ def plain_taken(rows, block, seed=7):
     order, target = plain_targets(dict(total))
     out = []
     for sid, s in enumerate(order):
-        docs = sorted(((i, n) for i, x, n in sized if x == s), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+        bucket = lambda d: mixed(mixed((d[0] or 0) & (2**62 - 1)) + d[1]) % max(1, -(-len(rows) // mixing.BUCKET))
+        docs = sorted(((i, n) for i, x, n in sized if x == s), key=lambda d: (bucket(d), d[0] is not None, d[0] or 0, d[1]))
         size, n_blocks = total[s], -(-total[s] // block)
         times = np.zeros(size + 1, int)
         left, epoch = floor(target[s]), 0
@@ -251,7 +259,9 @@ def plain_taken(rows, block, seed=7):
 
 
 @pytest.mark.parametrize("seed,block", [(1, 16), (2, 7), (3, 256)])
-def test_mixing_against_a_walk(spark, seed, block):
+def test_mixing_against_a_walk(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 10 * seed)
+    monkeypatch.setattr(mixing, "LEVEL", 3)
     rng = random.Random(seed)
     rows = [(i if i % 17 else None, rng.choice(["a", "b", "b", "b", "ü", "Z", None]), rng.choice([None, "", "x", prose(rng, rng.randrange(1, 200))])) for i in range(150)]
     rows += [rows[3], rows[3]]
@@ -275,8 +285,10 @@ def test_mixing_edges(edge, empty, edge_rows):
 
 
 def test_mix_rows_are_the_taken_words(spark, edge):
+    placed = mixing.mix_rows(edge, block=64)
+    assert placed.columns == ["place", "row"]
     rows = mixing.mix(edge, block=64)
-    assert rows.columns == ["shard", "slot", "a", *edge.columns]
+    assert rows.columns == edge.columns
     taken = Counter()
     for r in rows.collect():
         taken[r["doc_id"]] += len(WORD.findall(r["text"]))
@@ -288,19 +300,61 @@ def test_mix_rows_are_the_taken_words(spark, edge):
     assert all(r["text"] in source[r["doc_id"]] for r in rows.where("doc_id in (6, 8, 10)").collect())
 
 
-def test_shards_draw_all_slots(spark, corpus):
+def quotas(spark, numbers):
+    first = np.cumsum(numbers) - numbers
+    return spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, numbers, strict=True))], "sid long, first long, slots long")
+
+
+def test_shards_draw_multinomially(spark):
+    """Chi-square of the shards' source counts: neither exact shares nor far from them."""
+    numbers = np.array([30_000, 12_000, 6_000, 2_000])
+    counts = {(r["shard"], r["sid"]): r["n"] for r in mixing.draws(quotas(spark, numbers), 500, 3).groupBy("shard", "sid").count().withColumnRenamed("count", "n").collect()}
+    want = 500 * numbers / numbers.sum()
+    chi = [sum((counts.get((s, i), 0) - w) ** 2 / w for i, w in enumerate(want)) for s in range(100)]
+    assert sum(counts.values()) == 50_000 and 2 < np.mean(chi) < 4 and max(chi) < 30
+
+
+def test_shards_share_out_all_slots(spark, corpus, monkeypatch):
     docs, _ = corpus
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(mixing, "CHUNK", 64)
     sizes = docs.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size"))
-    slots = mixing.slots(mixing.targets(sizes), 64, shard=100).cache()
-    places = [r["shard"] * 100 + r["slot"] for r in slots.collect()]
+    sources = mixing.targets(sizes).cache()
+    slots = mixing.slots(sources, 64, shard=100).collect()
+    places = [r["shard"] * 100 + r["slot"] for r in slots]
     assert sorted(places) == list(range(len(places)))
-    counts = mixing.shard_counts(slots).collect()
-    share = defaultdict(list)
-    for r in counts:
-        share[r["sid"]].append(r["slots"])
-    assert sum(sum(x) for x in share.values()) == len(places)
+    words, times = Counter(), Counter()
+    for r in slots:
+        words[r["sid"]] += r["words"]
+        times[(r["sid"], r["idx"])] += 1
+    assert words == {r["sid"]: floor(r["target"]) for r in sources.collect() if r["target"] >= 1}
+    for r in sources.collect():
+        of = [n for (sid, _), n in times.items() if sid == r["sid"]]
+        assert not of or max(of) - min(of) <= 1 or len(of) < -(-r["source_size"] // 64) and max(of) == 1
+    by_shard = Counter(r["shard"] for r in slots)
+    assert all(len({r["sid"] for r in slots if r["shard"] == s}) > 3 for s, n in by_shard.items() if n == 100)
+
+
+def test_mix_is_in_the_order_of_its_shards(spark, corpus):
+    """Neighbouring rows of a file come from different sources as often as the sources' shares let them."""
+    docs, _ = corpus
+    rows = mixing.mix(docs, block=64, shard=50).collect()
+    share = Counter(r["source"] for r in rows)
+    changes = np.mean([a["source"] != b["source"] for a, b in zip(rows, rows[1:], strict=False)])
+    assert changes > 0.7 * (1 - sum((n / len(rows)) ** 2 for n in share.values()))
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["shard", "slot", "a", "gone_id", "gone_node", "place", "row", "own", "core", "size", "k", "j", "idx", "label", "key", "n"]
+    docs = docs.selectExpr("*", *(f"doc_id AS `{x}`" for x in names)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.where(" OR ".join(f"`{x}` <> doc_id" for x in names)).count() == 0, name
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97])
