@@ -1,6 +1,12 @@
 """A training corpus from documents: toxic and poor documents and near copies go, sources are mixed, texts packed.
 
 Each stage works on all that its predecessor kept and is written as Parquet before the next one reads it.
+
+Edge cases, in every stage: null and empty texts aren't toxic, fail the quality rules (no words), would be nobody's
+copies, give the mix nothing and pack to the end id; null and repeated doc_ids, ties and repeated rows are rows of their
+own but for near copies, of which the least doc_id stays once; texts of any length are worked on whole; an empty table
+stays empty through all stages; extra columns, whatever their names, pass through all stages but the last, which has
+columns of its own.
 """
 
 from __future__ import annotations
@@ -28,13 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document piece of each slot, in the columns of documents."""
-    return mixing.mix(docs, block=256, weights=(5, 2, 1), share=1.5, most=2).select(*docs.columns)
+    """The mix: a row for each document piece of each slot, in the columns of documents, in the order of the shards."""
+    return mixing.mix(docs, block=256, weights=(5, 2, 1), share=1.5, most=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of at most 2048."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1, tokens=2048, segments=64, loss=1984)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_poor), ("near_duplicates", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
