@@ -8,13 +8,17 @@ of tokens, so that the sum over a text is its number of tokens at every place. T
 if merging their joined text gives these two again; of the pieces that end at a place, just one may follow what
 stands before it. States and transitions are made when first met and kept.
 
-A text is cut into chunks. White space after another character always leads to one state, so a chunk's map from
-entry state to (exit state, count) is constant after its first such place: the map is (head, exit, count). Maps
-compose associatively; entry states come from a prefix scan over a text's chunks and the heads are run from them.
-All chunks of a step advance together, a character at a time.
+A text is cut into chunks, and a chunk has a map from entry state to (exit state, count). White space after another
+character always leads to one state, so behind the first such place the map is constant. For chunks without one, the
+map is made for the states in which the chunk before may leave it: the one that a run over that chunk's last characters
+predicts, and from there on every exit that any entry of the chunk before has, all chunks at once, until no new
+entry is found. The maps then compose by a prefix scan (pointer doubling) over a text's chunks. All chunks of a step
+advance together, a character at a time; texts of more than BLOCK characters pass in blocks, from each of which only
+the exit state is kept, so that states and transitions of any text are bounded.
 
 Edge cases: null and empty texts have no tokens; any Unicode text is counted, NUL and control tokens' strings as
-ordinary characters; equal texts have equal counts; other columns are ignored.
+ordinary characters; equal texts have equal counts, repeated rows and null ids stay rows; equal scores of neighbours
+tie for the left one; texts have no limit of length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from orebody.llm.common import ship, steps
 
-#: Characters of a chunk, and transitions that a worker keeps before it begins anew.
-CHUNK, KEPT = 256, 700_000
+#: Characters of a chunk, of a block, and those that predict an entry; transitions that a worker keeps before it begins anew.
+CHUNK, BLOCK, AHEAD, KEPT = 256, 1 << 18, 32, 700_000
 MARK = "▁"
 #: Classes of characters: unknown ones by the bytes that stand for them, then the vocabulary's own.
 CLASSES = 13
@@ -97,6 +101,11 @@ class Transducer:
         self.classes[32] = self.classes[ord(MARK)]
         self.space = int(self.classes[32])
         self.char = {5 + i: chr(c) for i, c in enumerate(chars)}
+        if 5 + len(chars) > 1 << CLASSES:
+            raise ValueError(f"more than {(1 << CLASSES) - 5} characters in the vocabulary")
+        #: When a piece is merged, among all; single characters are there from the start.
+        self.time = {x: i + 1 for i, x in enumerate(sorted(self.score, key=lambda x: -self.score[x]))}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.runs = self._runs()
         self._reset()
@@ -109,11 +118,10 @@ class Transducer:
         self.keys, self.next, self.emit = np.full(self.table, -1, np.int64), np.zeros(self.table, np.int32), np.zeros(self.table, np.int32)
         self.start = self._state(self._run(1))
 
-    def _merged(self, text: str, cut: int = 0) -> list[str] | None:
-        """The tokens of text: the best-scored neighbours merge first, the leftmost of equals. None as soon as a
-        merge would cross the cut."""
-        parts = list(text)
-        at = list(range(len(parts)))
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The tokens of text, and the last two that were merged: the best-scored neighbours merge first, the leftmost of
+        equals."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best, where = -np.inf, -1
             for i in range(len(parts) - 1):
@@ -122,31 +130,53 @@ class Transducer:
                     best, where = s, i
             if where < 0:
                 break
-            if cut and at[where + 1] == cut:
-                return None
+            last = (parts[where], parts[where + 1])
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
-            del at[where + 1]
-        return parts
+        return parts, last
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two tokens that a piece of several characters is merged from; None if its text has other tokens."""
+        if piece not in self.halves:
+            parts, last = self._merged(piece)
+            self.halves[piece] = last if len(parts) == 1 else None
+        return self.halves[piece]
 
     def _runs(self) -> list[int]:
         """Tokens of runs of the mark, by length; beyond the list they grow by one every `period` marks."""
         longest = max((len(x) for x in self.score if not x.strip(MARK)), default=1)
-        runs = [len(self._merged(MARK * n)) if n else 0 for n in range(8 * longest)]
+        runs = [len(self._merged(MARK * n)[0]) if n else 0 for n in range(8 * longest)]
         self.period = longest
         if any(runs[n] != runs[n - longest] + 1 for n in range(4 * longest, 8 * longest)):
             raise ValueError("runs of spaces don't settle")
         return runs[: 6 * longest]
 
     def _fits(self, before: str | None, piece: str) -> bool:
-        """Whether the token `piece` may follow `before` (SEGMENT: may begin a segment)."""
+        """Whether the token `piece` may follow `before` (SEGMENT: may begin a segment).
+
+        The merges that made the two are undone, the latest first, of equal ones the right one: where the tokens that
+        then stand at the seam would have merged before the merge undone last, these two can't stand there.
+        """
+        if len(piece) > 1 and self._halves(piece) is None:
+            return False
+        if before is SEGMENT:
+            return True
         key = (before, piece)
         if key not in self.follows:
             if len(self.follows) > KEPT // 2:
                 self.follows.clear()
-            if before is SEGMENT:
-                self.follows[key] = len(self._merged(piece)) == 1
-            else:
-                self.follows[key] = self._fits(SEGMENT, piece) and self._merged(before + piece, len(before)) is not None
+            a, b, limit = before, piece, len(self.time) + 2
+            while True:
+                if self.time.get(a + b, limit) < limit:
+                    self.follows[key] = False
+                    break
+                x, y = (self.time[z] if len(z) > 1 else 0 for z in (a, b))
+                if x > y:
+                    limit, a = x, self._halves(a)[1]
+                elif y:
+                    limit, b = y + 1, self._halves(b)[0]
+                else:
+                    self.follows[key] = True
+                    break
         return self.follows[key]
 
     def _run(self, length: int) -> tuple:
@@ -241,12 +271,26 @@ class Transducer:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        short = [i for i, t in enumerate(texts) if len(t) <= BLOCK]
         if self.count > KEPT:
             self._reset()
+        out[short], _ = self._count([texts[i] for i in short], np.full(len(short), self.start))
+        for i in np.flatnonzero([len(t) > BLOCK for t in texts]).tolist():
+            state = self.states[self.start]
+            for a in range(0, len(texts[i]), BLOCK):
+                if self.count > KEPT:
+                    self._reset()
+                n, left = self._count([texts[i][a : a + BLOCK]], np.array([self._state(state)]))
+                out[i], state = out[i] + n[0], self.states[left[0]]
+        return out + np.array([bool(t) for t in texts], np.int64)  # the mark before a text
+
+    def _count(self, texts: list[str], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The change in the number of tokens over each text from its entry state, and its exit state."""
         size = np.array([len(t) for t in texts], np.int64)
         codes = self.classes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         if not len(codes):
-            return np.zeros(len(texts), np.int64)
+            return np.zeros(len(texts), np.int64), entry
         first = np.concatenate([[0], np.cumsum(size)])
         per = -(-size // CHUNK)
         text = np.repeat(np.arange(len(texts)), per)
@@ -257,24 +301,56 @@ class Transducer:
         known = np.flatnonzero((codes[1:] == self.space) & (codes[:-1] != self.space)) + 1
         sync = np.searchsorted(known, start + 1)
         sync = np.where(sync < len(known), known[np.minimum(sync, len(known) - 1)] if len(known) else len(codes), len(codes))
-        opens = start == first[text]  # a text's first chunk: after the leading mark
+        opens = start == first[text]  # a text's first chunk
         constant = (sync < end) & ~opens
         head = np.where(opens, 0, np.where(constant, sync - start, end - start))
         begin = np.where(opens, start, np.where(constant, sync + 1, end))
-        leaving, count = self._advance(codes, begin, end - begin, np.full(len(text), self.start))
-        count += opens | constant  # the mark itself
-        # Prefix scan: a chunk's entry state is the exit state of the chunk before, known at once if its map is
-        # constant; chunks without such a place follow in rounds.
+        leaving, count = self._advance(codes, begin, end - begin, np.where(opens, entry[text], self.start))
+        count += constant  # the mark itself
+        total = np.bincount(text, count, minlength=len(texts)).astype(np.int64)
         ready = opens | constant
-        leaving = np.where(ready, leaving, -1)
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            can = todo[leaving[todo - 1] >= 0]
-            last, more = self._advance(codes, start[can], head[can], leaving[can - 1])
-            count[can] += more
-            leaving[can] = np.where(ready[can], leaving[can], last)
-            todo = np.setdiff1d(todo, can, assume_unique=True)
-        return np.bincount(text, count, minlength=len(texts)).astype(np.int64)
+        # Maps of the chunks' heads: (chunk, entry) -> (exit, count). Behind a ready chunk the entry is its exit.
+        chunk = np.flatnonzero(head > 0)
+        sure = ready[chunk - 1]
+        guess = np.flatnonzero(~sure)
+        state = leaving[chunk - 1]
+        if len(guess):
+            ahead = np.minimum(AHEAD, CHUNK)
+            state[guess], _ = self._advance(codes, start[chunk[guess]] - ahead, np.full(len(guess), ahead), np.full(len(guess), self.start))
+        maps = np.zeros((0, 4), np.int64)  # chunk, entry, exit, count
+        while len(chunk):
+            left, more = self._advance(codes, start[chunk], head[chunk], state)
+            maps = np.concatenate([maps, np.stack([chunk, state, left, more], axis=1)])
+            # Exits that the next chunk hasn't as entries yet.
+            goes = maps[~ready[maps[:, 0]]]
+            goes = goes[np.append(head, 0)[goes[:, 0] + 1] > 0]
+            asked = np.unique(goes[:, 0] + 1 << 32 | goes[:, 2])
+            asked = np.setdiff1d(asked, maps[:, 0] << 32 | maps[:, 1], assume_unique=False)
+            chunk, state = asked >> 32, asked & (1 << 32) - 1
+        if len(maps):
+            names = maps[:, 0] << 32 | maps[:, 1]
+            maps = maps[np.argsort(names)]
+            names = np.sort(names)
+            open_ = ~ready[maps[:, 0]]
+            after = np.append(head, 0)[maps[:, 0] + 1] > 0
+            to = np.full(len(maps) + 1, len(maps))
+            some = np.flatnonzero(open_ & after)
+            to[some] = np.searchsorted(names, maps[some, 0] + 1 << 32 | maps[some, 2])
+            exits, sums = np.append(maps[:, 2], 0), np.append(maps[:, 3], 0)
+            last = np.append(maps[:, 0], -1)
+            while (to[:-1] < len(maps)).any():  # each map composed with the one that it goes on to
+                sums = sums + sums[to]
+                on = to < len(maps)
+                exits[on], last[on] = exits[to[on]], last[to[on]]
+                to = to[to]
+            of = np.flatnonzero(ready[maps[:, 0] - 1] & (maps[:, 1] == leaving[maps[:, 0] - 1]))
+            total += np.bincount(text[maps[of, 0]], sums[of], minlength=len(texts)).astype(np.int64)
+            ends = of[~ready[last[of]]]  # chains that reach their text's end without a place of known state
+            leaving[last[ends]] = exits[ends]
+        out = entry.copy()
+        full = np.flatnonzero(size)
+        out[full] = leaving[chunk0[full] + per[full] - 1]
+        return total, out
 
 
 _OPEN: dict[str, Transducer] = {}

@@ -318,6 +318,33 @@ def test_chunk_maps_compose(pieces, monkeypatch):
         assert transducer.Transducer(PIECES)(texts).tolist() == [len(x) for x in pieces.encode(texts)]
 
 
+def test_blocks_of_long_texts(pieces, monkeypatch):
+    monkeypatch.setattr(transducer, "CHUNK", 16)
+    monkeypatch.setattr(transducer, "BLOCK", 100)
+    monkeypatch.setattr(transducer, "KEPT", 60)
+    rng = random.Random(6)
+    texts = ["aaaa" * 200, "".join(rng.choice("abcdeé ") for _ in range(3000)), "unbroken" * 90, " " * 400, "ab" * 49, "日" * 333, "x", ""]
+    assert transducer.Transducer(PIECES)(texts).tolist() == [len(x) for x in pieces.encode(texts)]
+
+
+def test_neighbours_against_merging():
+    """Two tokens may follow each other if merging their joined text, step by step, gives these two."""
+    own, rng = transducer.Transducer(PIECES), random.Random(9)
+    names = [x for x in own.score if x.strip("▁") and own._fits(None, x)]
+    close = [x for x in names if x.isascii() and 2 <= len(x) <= 5]
+    for _ in range(4000):
+        a, b = rng.choice(close if rng.random() < 0.7 else names), rng.choice(close).lstrip("▁")
+        if b in own.score and own._fits(None, b):
+            assert own._fits(a, b) == (own._merged(a + b)[0] == [a, b])
+    assert own._fits("a", "a") == (own._merged("aa")[0] == ["a", "a"])
+
+
+def test_too_many_characters_are_refused(monkeypatch):
+    monkeypatch.setattr(transducer, "CLASSES", 6)
+    with pytest.raises(ValueError):
+        transducer.Transducer(PIECES)
+
+
 def test_kept_transitions_begin_anew(pieces, monkeypatch):
     monkeypatch.setattr(transducer, "KEPT", 40)
     own, rng = transducer.Transducer(PIECES), random.Random(5)
