@@ -20,16 +20,44 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where nothing is configured (local tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where nothing is configured and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else _own_dir()
+        if known.isDefined():
+            return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
     return found
 
 
+#: What was written for each application and not removed yet.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a written folder removed when the driver ends, or by clean()."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    found, store = _path(spark, path)
+    store.deleteOnExit(found)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediates of the application; results that were made from them must have been read by then."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        found, store = _path(spark, path)
+        store.delete(found, True)
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet and read back; cuts lineage, and nothing of it is on one executor alone."""
     path = f"{shared_dir(df.sparkSession)}/orebody/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
