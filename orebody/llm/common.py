@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.plans.durable import durable, shared_dir  # noqa: F401
+from orebody.plans.durable import durable, passing, shared_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -23,11 +26,27 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let local Python workers import this package from where the driver found it."""
+    """Let Python workers import this package: local ones from where the driver found it, those of a cluster from an
+    archive that the driver sends them, once an application."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    context = spark.sparkContext
+    env = context.environment
+    if context.master.startswith("local"):
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    elif context.applicationId not in _SENT:
+        _SENT.add(context.applicationId)
+        context.addPyFile(archive(root))
+
+
+_SENT: set[str] = set()
+
+
+def archive(root: str) -> str:
+    """A zip file of the package in a folder of the driver that goes with this process."""
+    folder = tempfile.mkdtemp(prefix="orebody-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return shutil.make_archive(os.path.join(folder, "orebody"), "zip", root, "orebody")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

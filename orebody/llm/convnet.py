@@ -8,7 +8,9 @@ probability. Trained by Adam on a bounded sample; a maximum passes its gradient
 
 Edge cases: null and empty texts are one chunk without bytes (their channels are 0); a text shorter than a chunk is
 one chunk; without labels of both classes the score is the labels' mean (0.5 without labels); equal texts have equal
-scores; nothing but the text is an input of a score.
+scores, whatever their ids, and repeated rows stay rows; of chunks that tie for a maximum the first has its gradient;
+texts have no limit of length; an empty table gives no rows; nothing but the text is an input of a score, and extra
+columns of any name are ignored.
 """
 
 from __future__ import annotations

@@ -8,21 +8,22 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.llm.common import remainder, ship
 
-#: Bounds of a training sample: rows, and bytes of a text that may be in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 1 << 16
+#: Bounds of a training sample: rows, bytes of a text that may be in it, and bytes of all its texts.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL = 6000, 1 << 16, 1 << 25
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return remainder(doc_id, mod) == rest
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, rest: int, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, text: str = "text") -> DataFrame:
-    """At most `rows` labelled rows (doc_id, text, label) that aren't held out: those whose ids hash lowest.
+def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, rest: int, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, text: str = "text", total: int = SAMPLE_TOTAL) -> DataFrame:
+    """At most `rows` labelled rows (doc_id, text, label) that aren't held out: those whose ids hash lowest, as far as
+    their texts have no more than `total` bytes together.
 
     Rows with a null id, label or text, and texts of more than `longest` bytes, aren't learned from. An id with
     several labels counts as its largest.
@@ -32,7 +33,11 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, rest: int,
     known = known.orderBy(F.xxhash64(F.lit(column), "id"), "id").limit(rows)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= longest)
     # Broadcast: `rows` pairs of an id and a label at most.
-    return body.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    found = body.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").orderBy(*order).limit(rows)
+    # One window over `rows` rows at most.
+    sums = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("sum", sums).where(F.col("sum") <= total).select("doc_id", "text", "label")
 
 
 def fit(rows: DataFrame, train: Callable[[list[bytes], np.ndarray], Any]) -> Any:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm.common import shared_dir, ship, steps, utf8
+from orebody.llm.common import passing, shared_dir, ship, steps, utf8
 from orebody.llm.encoder import encoder
 
 NULL_ID = -(1 << 63)
@@ -82,12 +82,25 @@ def write_dataset(docs: DataFrame, folder: str, vocabulary: str, end_id: int, te
     return shards
 
 
-def _map(store: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file as an array: memory-mapped where the store is a local or mounted folder."""
+class _Ranges:
+    """A file of numbers in a store that can't be mapped: slices are read where they stand."""
+
+    def __init__(self, store: pa.fs.FileSystem, path: str, kind: str):
+        self.file, self.kind = store.open_input_file(path), np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(len(self))
+        return np.frombuffer(self.file.read_at(max(0, b - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+
+
+def _map(store: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray | _Ranges:
+    """The file as an array: memory-mapped where the store is a local or mounted folder, else read by ranges."""
     if isinstance(store, pa.fs.LocalFileSystem):
         return np.memmap(path, kind, "r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.readall(), kind)
+    return _Ranges(store, path, kind)
 
 
 def read_dataset(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -125,4 +138,5 @@ def dataset_digests(docs: DataFrame, vocabulary: str, end_id: int = 0, text: str
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/orebody/{uuid.uuid4().hex}-ids"
     write_dataset(docs, folder, vocabulary, end_id, text)
+    passing(spark, folder)
     return read_dataset(spark, folder)

@@ -6,7 +6,9 @@ likelihood through the noisy-or decides which sentences bear a label. Sentences
 are runs of ASCII letters and bytes of non-ASCII characters, lower-cased where ASCII.
 
 Edge cases: null and empty texts have no sentence and score 0; without labels of both classes every score is 0;
-equal texts have equal scores; nothing but the text is an input of a score.
+equal texts have equal scores, whatever their ids, and repeated rows stay rows; of equally bad sentences the first is the
+worst; texts have no limit of length; an empty table gives no rows; nothing but the text is an input of a score, and
+extra columns of any name are ignored (keep_clean() keeps them).
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _logs(logit: np.ndarray) -> np.ndarray:
 def _once(f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each feature of a sentence once."""
     both = np.unique(s.astype(np.int64) << 21 | f)
-    return both & ((1 << 21) - 1), both >> 21
+    return (both & ((1 << 21) - 1)).astype(np.int32), (both >> 21).astype(np.int32)
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> dict:

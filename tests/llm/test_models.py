@@ -39,6 +39,8 @@ def test_edges(spark, edge, empty, labels, module, fit, mod, rest, monkeypatch):
 
 def test_sample_is_bounded_and_never_held_out(corpus):
     docs, labels = corpus
+    few = learn.sample(docs, labels, "quality", 5, 0, total=20_000).collect()
+    assert 0 < sum(len(r["text"].encode()) for r in few) <= 20_000
     got = learn.sample(docs, labels, "quality", 5, 0, rows=20, longest=4000).collect()
     assert 0 < len(got) <= 20
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 and len(r["text"].encode()) <= 4000 for r in got)
@@ -112,6 +114,33 @@ def test_noisy_or_and_offending_sentences(spark):
     assert abs(p[0] - (1 - np.prod(1 - each))) < 1e-9
 
 
+def test_sentence_scores_against_plain_ones():
+    """Words, sentences and features of a second, plain making; the same weights."""
+    import re
+
+    from orebody.llm.common import span_hash
+
+    rng, vocabulary = random.Random(4), ["grolp", "Über", "zwxgrob", "a", "no", "quartzes", "ärger", "naïveté", "x1y"]
+    texts = ["", "!?.\n", *(" ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", ".", "!", "?!", "\n", " 7 "]) for _ in range(rng.randrange(1, 40))) for _ in range(60))]
+    weight = np.random.default_rng(2).exponential(1.5, toxicity.WEIGHTS) * (np.random.default_rng(3).random(toxicity.WEIGHTS) < 0.6)
+    scorer = toxicity.Scorer({"bias": toxicity.BIAS, "at": np.flatnonzero(weight), "weight": weight[weight > 0]})
+    name = lambda x, k=0: (int(span_hash(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) + k) % 2**64 % toxicity.WEIGHTS
+    blob = [t.encode() for t in texts]
+    got, row, _, each = scorer(np.frombuffer(b"".join(blob), np.uint8), np.cumsum([0] + [len(b) for b in blob]))
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for i, text in enumerate(blob):
+        clear, scores = 1.0, []
+        for sentence in re.findall(rb"[^\n!.?]*[\n!.?]+|[^\n!.?]+", text.lower()):
+            words = re.findall(rb"[a-z\x80-\xff]+", sentence)
+            found = {name(w) for w in words} | {name(w[:k], k) for w in words for k in toxicity.BEGINNINGS if len(w) > k}
+            logit = toxicity.BIAS + sum(weight[f] for f in found)
+            share = (1 - logistic(logit)) / (1 - logistic(toxicity.BIAS))
+            scores.append(1 - share)
+            clear *= share
+        assert abs(got[i] - (1 - clear)) < 1e-4
+        assert np.allclose(each[row == i], scores, atol=1e-4)
+
+
 def test_sentences_without_known_words_add_nothing():
     words = "bad word of the worst kind".split()
     texts = [f"{w} {x}." for w in words for x in "ab"] * 4
