@@ -35,7 +35,7 @@ ROUNDS = 24
 CHUNK, BUCKET, LEVEL = 4096, 1024, 4096
 #: Rows of a table that may be broadcast.
 SMALL = 200_000
-LOW = 31  # bits of a number's lower part
+LOW, SPREAD = 31, 7919  # bits of a number's lower part, and what the upper part is multiplied by
 
 
 def _scatter(x: Column) -> Column:
@@ -47,15 +47,23 @@ def _mixed(x: Column) -> Column:
     return _scatter(_scatter(x) + F.shiftright(x.cast("long"), LOW))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's argument is bound, not repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
     """Where the seed's permutation of 0..n-1 sends x."""
 
     def trade(x: Column, i: Column) -> Column:
-        one = _scatter(seed * ROUNDS + i)
-        key = one * (1 << LOW) + _scatter(one + 1)
-        partner = (key % n - x + n) % n  # both are below n
-        high = F.greatest(x, partner)
-        return F.when(F.shiftright(_mixed(one + high), 13) % 2 == 1, partner).otherwise(x)
+        def with_key(one: Column) -> Column:
+            key = one * (1 << LOW) + _scatter(one + 1)
+            return _let((key % n - x + n) % n, lambda partner: F.when(swap(one, F.greatest(x, partner)), partner).otherwise(x))  # both are below n
+
+        return _let(_scatter(seed * ROUNDS + i), with_key)
+
+    def swap(one: Column, high: Column) -> Column:
+        return F.shiftright(_scatter(one + high + F.shiftright(high, LOW) * SPREAD), 13) % 2 == 1
 
     order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(order, x.cast("long"), trade)
@@ -167,7 +175,8 @@ def slots(sources: DataFrame, block: int, seed: int = 7, shard: int = 1024) -> D
     void = rows.where("j >= slots").select("shard", "slot", (c("over_before") + c("j") - c("slots")).alias("place"))
     short = got.where("under > 0").select("sid", "n", "under_before", F.explode(F.expr("sequence(0L, under - 1)")).alias("k"))
     moved = void.join(short.select("sid", (c("under_before") + c("k")).alias("place"), (c("n") + c("k")).alias("j")), "place").select("shard", "slot", "sid", "j")
-    rows = fits.unionByName(moved).join(quotas, "sid")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fits.unionByName(moved).repartition(parts, "sid", "j").join(F.broadcast(quotas) if quotas.count() <= SMALL else quotas, "sid")
     rows = rows.withColumn("epoch", F.expr("j div blocks"))
     rows = rows.withColumn("idx", permuted(F.expr("j % blocks"), c("blocks"), _seed(c("sid"), c("epoch"), seed)))
     words = F.when((c("j") == c("slots") - 1) & (c("m") > 0), c("last")).when(c("idx") == c("blocks") - 1, c("short")).otherwise(F.lit(block))
@@ -277,7 +286,8 @@ def sql(block: int = 256, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), s
         order = f"range({ROUNDS - 1}, -1, -1)" if inverse else f"range({ROUNDS})"
         one = scatter(f"({s}) * {ROUNDS} + i")
         partner = f"((({one} * {1 << LOW} + {scatter(f'{one} + 1')}) % {n} - x + {n}) % {n})"
-        bit = f"({mixed(f'{one} + greatest(x, {partner})')} >> 13) % 2"
+        high = f"greatest(x, {partner})"
+        bit = f"({scatter(f'{one} + {high} + ({high} >> {LOW}) * {SPREAD}')} >> 13) % 2"
         return f"list_reduce({order}, lambda x, i: CASE WHEN {bit} = 1 THEN {partner} ELSE x END, CAST({x} AS BIGINT))"
 
     bucket = f"{mixed(f'{mixed(f'(coalesce(doc_id, 0) & {(1 << 62) - 1})')} + size')} % (SELECT greatest(1, (count(*) + {BUCKET - 1}) // {BUCKET}) FROM documents)"

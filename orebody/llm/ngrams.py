@@ -435,10 +435,12 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(own, "node", "left").withColumn("label", F.coalesce("own", "node")).drop("own")
 
 
-def _open(rows: DataFrame, group: str) -> DataFrame:
-    """The rows of groups that have several labels."""
-    several = rows.groupBy(group).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(group)
-    return rows.join(several, group, "left_semi")
+def _open(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """The rows of groups that have several labels, with the number of blocks of `size` rows that a group makes."""
+    ends = (F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    several = materialize(rows.groupBy(group).agg(*ends).where("l0 <> l1").select(group, "blocks"), "several")
+    few = several.count() <= SMALL  # 20 bytes a row
+    return rows.drop("blocks").join(F.broadcast(several) if few else several, group)
 
 
 def _close(pairs: DataFrame) -> DataFrame:
@@ -478,9 +480,8 @@ def _near(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(known.select(c("node").alias(x), c("n").alias(f"n_{x}"), c("sketch").alias(f"sketch_{x}")), x)
     star = materialize(_close(pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")), "star")
-    rest = materialize(_open(_labelled(rows, star), "run"), "rest")
-    size = rest.groupBy("run").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(size, "run").withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    rest = materialize(_open(_labelled(rows, star), "run", RUN_BLOCK), "rest")
+    rest = rest.withColumn("mine", F.pmod(F.hash("node"), c("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
     rest = rest.join(known, "node").select("run", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "n", "sketch", "label")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
@@ -590,7 +591,7 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
         others = large.join(pivot.where("j = 0").select("component", c("label").alias("own")), "component").where("label <> own")
         others = others.select("component", zero.alias("i"), place(c("blocks")).alias("j"), "node", F.lit(False).alias("left"), "label", "rep")
         edges = edges.unionByName(_compared(pivot.unionByName(others), docs, length, clashing))
-        large = materialize(_open(_labelled(large.drop("label"), edges), "component"), "large")
+        large = materialize(_open(_labelled(large.drop("label"), edges), "component", NODE_BLOCK), "large")
     parts = large.groupBy("component", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     main = parts.groupBy("component").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
     large = large.join(main, "component").withColumn("left", c("label") != c("main"))

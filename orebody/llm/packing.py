@@ -168,8 +168,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
     """Encode every whole text, append end_id and pack all ids: one row a piece, the columns of op6's contract, and
     loss, how many of the piece's ids bear it.
 
-    A document's first ids bear no loss: as many as its prompt has by itself, one at least. with_ids adds the piece's
-    ids.
+    A document's first ids bear no loss: as many as its prompt has by itself. with_ids adds the piece's ids.
     """
     ship(docs.sparkSession)
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss"]
@@ -195,7 +194,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
             flat, offsets = encode(data, rows)
             head = _ids_within(encode, data, rows, prompts(data, rows))
             size = np.diff(offsets)
-            begun = np.maximum(np.minimum(size, head), 1)
+            begun = np.minimum(size, head)
             blob = np.insert(flat, offsets[1:], end_id).astype("<u4").tobytes()
             at = 4 * (offsets + np.arange(batch.num_rows + 1))
             ids = [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

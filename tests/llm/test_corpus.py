@@ -204,7 +204,8 @@ def swap_or_not(x, n, seed):
     for i in range(mixing.ROUNDS):
         one = scatter(seed * mixing.ROUNDS + i)
         partner = ((one * 2**31 + scatter(one + 1)) % n - x + n) % n
-        if (mixed(one + max(x, partner)) >> 13) % 2:
+        high = max(x, partner)
+        if (scatter(one + high + (high >> 31) * 7919) >> 13) % 2:
             x = partner
     return x
 
