@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from orebody.functions.scalars import distance, draw
 from orebody.plans.durable import durable
 
+#: Clusters that one row may hold, which every task gets; the close ones among so many are sought pair by pair.
+CENTERS = 10_000
+#: Fixed value: centroids nearer than this merge.
+CLOSE = 3.0
+
 
 def chunk_split(points: DataFrame, chunks: int = 5, seed: int = 11) -> DataFrame:
     """points with chunk: a repeatable deal by id."""
@@ -43,23 +48,33 @@ def centroids(stats: DataFrame) -> DataFrame:
     return rows.select("cluster", "n", F.transform("d", lambda x: x["m"]).alias("centroid"), F.transform("d", lambda x: x["s"]).alias("std"))
 
 
+def _few(centers: DataFrame) -> DataFrame:
+    n = centers.count()
+    if n > CENTERS:
+        raise ValueError(f"{n} clusters: {CENTERS} at most may be sent to every task")
+    return centers
+
+
 def nearest(points: DataFrame, centers: DataFrame, scaled: bool = True) -> DataFrame:
     """id, cluster and distance of each point's nearest center; equal distances: the least cluster.
 
-    centers: k rows (k is the caller's parameter), which every task holds. scaled: differences in standard deviations.
+    The centers (k of them, the caller's parameter) are one row, of which each point takes the least: nothing is
+    shuffled and points with one id stay apart. Without centers there are no rows. scaled: differences in
+    standard deviations.
     """
-    c = F.broadcast(centers.select("cluster", "centroid", "std"))  # k rows
-    both = points.select("id", "features").crossJoin(c)
-    d = distance(F.col("features"), F.col("centroid"), F.col("std") if scaled else None)
-    best = both.groupBy("id").agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col("cluster").alias("c"))).alias("best"))
-    return best.select("id", F.col("best.c").alias("cluster"), F.round("best.d", 6).alias("distance"))
+    c = F.col
+    every = _few(centers).agg(F.collect_list(F.struct("cluster", "centroid", "std")).alias("centers"))
+    both = points.select("id", "features").crossJoin(F.broadcast(every))  # one row
+    d = lambda x: distance(c("features"), x["centroid"], x["std"] if scaled else None)
+    best = F.array_min(F.transform("centers", lambda x: F.struct(F.round(d(x), 9).alias("d"), x["cluster"].alias("c"))))
+    return both.select("id", best.alias("best")).where("best IS NOT NULL").select("id", c("best.c").alias("cluster"), F.round("best.d", 6).alias("distance"))
 
 
 def assign(points: DataFrame, centers: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Points nearer than the threshold (id, features, cluster), and the others (id, features)."""
-    near = nearest(points, centers).where(F.col("distance") < threshold)
-    rows = points.join(near.select("id", "cluster"), "id", "left")
-    return rows.where("cluster IS NOT NULL").select("id", "features", "cluster"), rows.where("cluster IS NULL").select("id", "features")
+    near = nearest(points.select(F.struct("id", "features").alias("id"), "features"), centers)
+    rows = near.select("id.id", "id.features", "cluster", (F.col("distance") < threshold).alias("near"))
+    return rows.where("near").select("id", "features", "cluster"), rows.where("NOT near").select("id", "features")
 
 
 def singletons(rows: DataFrame) -> DataFrame:
@@ -67,72 +82,98 @@ def singletons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).where("n = 1").select("cluster")
 
 
+def split_singletons(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points (id, features, cluster) outside groups of one, and those alone in theirs."""
+    alone = singletons(found)
+    return found.join(alone, "cluster", "left_anti"), found.join(alone, "cluster", "left_semi")
+
+
 def initial_outliers(points: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Cluster into 5k groups: points outside groups of one, and those alone in theirs."""
-    found = durable(kmeans(points, 5 * k, seed), "groups")
-    alone = singletons(found)
-    return found.join(alone, "cluster", "left_anti").select("id", "features"), found.join(alone, "cluster", "left_semi").select("id", "features")
+    several, alone = split_singletons(durable(kmeans(points, 5 * k, seed), "groups"))
+    return several.select("id", "features"), alone.select("id", "features")
 
 
 def close_centers(centers: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of centers nearer than the threshold; centers: as many as clusters."""
-    a = centers.select(F.col("cluster").alias("a"), F.col("centroid").alias("x"))
-    b = F.broadcast(centers.select(F.col("cluster").alias("b"), F.col("centroid").alias("y")))
-    return a.join(b, F.col("a") < F.col("b")).withColumn("distance", F.round(distance(F.col("x"), F.col("y")), 6)).where(F.col("distance") < threshold).select("a", "b", "distance")
+    a = _few(centers).select(F.col("cluster").alias("a"), F.col("centroid").alias("x"))
+    every = F.broadcast(centers.agg(F.collect_list(F.struct(F.col("cluster").alias("b"), F.col("centroid").alias("y"))).alias("all")))  # one row
+    later = F.transform(F.filter("all", lambda o: o["b"] > F.col("a")), lambda o: F.struct(o["b"].alias("b"), F.round(distance(F.col("x"), o["y"]), 6).alias("distance")))
+    return a.crossJoin(every).select("a", F.inline(F.filter(later, lambda o: o["distance"] < threshold)))
 
 
-def merge_close(stats: DataFrame, threshold: float) -> DataFrame:
-    """Moments of clusters whose centers lie nearer than the threshold, merged under the least cluster of their chain."""
+def chains(stats: DataFrame, threshold: float) -> DataFrame:
+    """cluster and into: the least cluster of the chain of near centers that it belongs to, for clusters in chains."""
     from orebody.operators.graph import connected_components
 
     pairs = close_centers(centroids(stats), threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    chains = connected_components(pairs)
-    named = stats.join(chains.withColumnRenamed("id", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
-    return merged_moments(named)
+    return connected_components(durable(pairs, "pairs")).select(F.col("id").alias("cluster"), F.col("component").alias("into"))
+
+
+def renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with their cluster replaced as names (cluster, into) says; names: CENTERS rows at most."""
+    return rows.join(F.broadcast(names), "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).select(*rows.columns)
+
+
+def merge_close(stats: DataFrame, threshold: float = CLOSE) -> DataFrame:
+    """Moments of clusters whose centers lie nearer than the threshold, merged under the least cluster of their chain."""
+    return merged_moments(renamed(stats, chains(stats, threshold)))
 
 
-def bfr(points: DataFrame, k: int, chunks: int = 5, threshold: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def bfr(points: DataFrame, k: int, chunks: int = 5, threshold: float | None = None, seed: int = 1, close: float = CLOSE) -> tuple[DataFrame, DataFrame]:
     """BFR: rounds (round, n_discard, n_compressed_clusters, n_compressed, n_retained) and assignments (id, cluster).
 
-    The first chunk's outliers are set aside, the rest gives k clusters (the discard set). Each chunk's points join
-    their nearest cluster or compressed cluster if it is nearer than the threshold (by default twice the root of the
-    dimensions); the others are grouped again into 5k, groups of several are compressed and single points retained.
-    After the last chunk compressed clusters join the discard clusters that are near. -1 marks what stays outside.
+    Of the discard and the compressed set only moments are kept, of the retained set the points. The first chunk's
+    outliers are retained, the rest gives k clusters (the discard set). Each chunk's points join their nearest discard
+    cluster, or else compressed cluster, if it is nearer than the threshold (by default twice the root of the
+    dimensions, in standard deviations); the others are retained. Retained points are grouped into 5k: groups of several
+    are compressed, single points stay. Compressed clusters with centers nearer than `close` merge; after the last chunk
+    those join the nearest discard cluster whose center is nearer than `close`. -1 marks what stays outside.
+    Assignments are written chunk by chunk and renamed as clusters merge.
     """
-    spark = points.sparkSession
+    spark, c = points.sparkSession, F.col
     rows = durable(chunk_split(points, chunks, seed), "points")
     first = rows.where("chunk = 0").select("id", "features")
     one = first.select(F.size("features").alias("d")).first()
     limit = threshold if threshold is not None else 2 * (one["d"] if one else 1) ** 0.5
-    rest, outliers = initial_outliers(first, k, seed)
-    members = durable(kmeans(rest, k, seed), "discard")
-    compressed = spark.createDataFrame([], "id bigint, features array<double>, cluster bigint")
-    retained, tag, rounds = durable(outliers, "retained"), 0, []
+    none = spark.createDataFrame([], "cluster bigint, dim int, n bigint, sum double, sumsq double")
+    rest, retained = initial_outliers(first, k, seed)
+    found = durable(kmeans(rest, k, seed), "groups") if not rest.isEmpty() else rest.withColumn("cluster", F.lit(0).cast("bigint"))
+    discard, compressed = durable(moments(found), "discard"), none
+    inside, outside = [found.select("id", "cluster")], []  # assignments to discard and to compressed clusters
+    retained, tag, rounds = durable(retained, "retained"), 0, []
     for chunk in range(chunks):
         if chunk:
-            new = rows.where(F.col("chunk") == chunk).select("id", "features")
-            joined, others = assign(new, durable(centroids(moments(members)), "centers"), limit)
-            members = durable(members.unionByName(joined), "discard")
+            new = rows.where(c("chunk") == chunk).select("id", "features")
+            joined, others = (durable(x, "assigned") for x in assign(new, durable(centroids(discard), "centers"), limit))
+            discard = durable(merged_moments(discard.unionByName(moments(joined))), "discard")
+            inside.append(joined.select("id", "cluster"))
             if not compressed.isEmpty():
-                into, others = assign(others, durable(centroids(moments(compressed)), "centers"), limit)
-                compressed = durable(compressed.unionByName(into), "compressed")
+                joined, others = (durable(x, "assigned") for x in assign(others, durable(centroids(compressed), "centers"), limit))
+                compressed = durable(merged_moments(compressed.unionByName(moments(joined))), "compressed")
+                outside.append(joined.select("id", "cluster"))
             retained = durable(retained.unionByName(others), "retained")
-        n = retained.count()
-        if n > 5 * k:
-            found = durable(kmeans(retained, 5 * k, seed), "groups")
-            alone = singletons(found)
+        if retained.count() > 5 * k:
+            several, alone = split_singletons(durable(kmeans(retained, 5 * k, seed), "groups"))
             tag += 5 * k  # the new groups' numbers are their own
-            several = found.join(alone, "cluster", "left_anti").withColumn("cluster", F.col("cluster") + tag)
-            compressed = durable(compressed.unionByName(several.select("id", "features", "cluster")), "compressed")
-            retained = durable(found.join(alone, "cluster", "left_semi").select("id", "features"), "retained")
-            n = retained.count()
-        held = compressed.agg(F.count_distinct("cluster").alias("c"), F.count("*").alias("n")).first()
-        rounds.append((chunk + 1, members.count(), held["c"], held["n"], n))
-    out = members.select("id", "cluster")
-    if not compressed.isEmpty():
-        centers = centroids(moments(compressed)).select(F.col("cluster").alias("id"), F.col("centroid").alias("features"))
-        near = nearest(centers, durable(centroids(moments(members)), "centers")).where(F.col("distance") < limit)
-        to = near.select(F.col("id").alias("own"), F.col("cluster").alias("into"))
-        out = out.unionByName(compressed.join(to, F.col("cluster") == F.col("own"), "left").select("id", F.coalesce("into", F.lit(-1)).cast("bigint").alias("cluster")))
-    out = out.unionByName(retained.select("id", F.lit(-1).cast("bigint").alias("cluster")))
+            several = durable(several.withColumn("cluster", c("cluster") + tag), "compressed")
+            compressed = durable(compressed.unionByName(moments(several)), "compressed")
+            outside.append(several.select("id", "cluster"))
+            retained = durable(alone.select("id", "features"), "retained")
+        if not compressed.isEmpty():
+            names = durable(chains(compressed, close), "names")
+            compressed = durable(merged_moments(renamed(compressed, names)), "compressed")
+            outside = [durable(renamed(x, names), "outside") for x in outside]
+        held = compressed.where("dim = 0").agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        members = discard.where("dim = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        rounds.append((chunk + 1, members, held["c"], held["n"], retained.count()))
+    out = retained.select("id", F.lit(-1).cast("bigint").alias("cluster"))
+    for x in inside:
+        out = out.unionByName(x)
+    if outside:
+        centers = centroids(compressed).select(c("cluster").alias("id"), c("centroid").alias("features"))
+        near = nearest(centers, durable(centroids(discard), "centers"), scaled=False).where(c("distance") < close)
+        to = durable(near.select(c("id").alias("own"), c("cluster").alias("into")), "names")
+        for x in outside:
+            out = out.unionByName(x.join(F.broadcast(to), c("cluster") == c("own"), "left").select("id", F.coalesce("into", F.lit(-1)).cast("bigint").alias("cluster")))
     return spark.createDataFrame(rounds, "round int, n_discard bigint, n_compressed_clusters bigint, n_compressed bigint, n_retained bigint"), out

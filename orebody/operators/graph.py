@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -165,27 +166,129 @@ def modularity(components: DataFrame, edges: DataFrame, remaining: DataFrame | N
     return one.select(F.round(share, 9).alias("modularity"))
 
 
+def _split(nodes: list, around: dict) -> list[list]:
+    """The connected parts of nodes."""
+    left, out = set(nodes), []
+    while left:
+        part = [left.pop()]
+        for v in part:
+            for w in around[v]:
+                if w in left:
+                    left.discard(w)
+                    part.append(w)
+        out.append(part)
+    return out
+
+
+def _scored(part: list, around: dict) -> tuple[float, dict[tuple, float]]:
+    """The largest edge betweenness in a connected part, and all of them."""
+    total: dict[tuple, float] = defaultdict(float)
+    for root in sorted(part):
+        for edge, credit in credits(around, root).items():
+            total[edge] += credit
+    scores = {edge: round(x / 2, DECIMALS) for edge, x in total.items()}
+    return max(scores.values(), default=0.0), scores
+
+
+def dismantle(pairs: list[tuple]) -> Iterator[tuple[int, float | None, list[tuple], int, int]]:
+    """Remove the edges of largest betweenness of one connected graph until none is left.
+
+    For each step, 0 before the first: its number, the betweenness that was removed, the edges, how many of the graph's
+    edges lie within its parts then, and the sum of the parts' squared degrees (degrees in the whole graph). Only the
+    parts that lost an edge are looked at again.
+    """
+    around: dict = defaultdict(set)
+    for a, b in pairs:
+        around[a].add(b)
+        around[b].add(a)
+    degrees = {v: len(w) for v, w in around.items()}
+    parts = [(*_scored(p, around), p) for p in _split(list(around), around)]
+    squares = sum(sum(degrees[v] for v in p) ** 2 for _, _, p in parts)
+    inside = len(pairs)
+    name = {v: i for i, (_, _, p) in enumerate(parts) for v in p}
+    yield 0, None, [], inside, squares
+    step, fresh = 0, len(parts)
+    while any(scores for _, scores, _ in parts):
+        most = max(m for m, scores, _ in parts if scores)
+        gone, kept = [], []
+        for m, scores, part in parts:
+            if not scores or m < most:
+                kept.append((m, scores, part))
+                continue
+            cut = [e for e, x in scores.items() if x == most]
+            gone += cut
+            for a, b in cut:
+                around[a].discard(b)
+                around[b].discard(a)
+            new = _split(part, around)
+            squares += sum(sum(degrees[v] for v in p) ** 2 for p in new) - sum(degrees[v] for v in part) ** 2
+            for p in new:
+                kept.append((*_scored(p, around), p))
+                name.update(dict.fromkeys(p, fresh))
+                fresh += 1
+        parts, step = kept, step + 1
+        inside = sum(name[a] == name[b] for a, b in pairs)
+        yield step, most, gone, inside, squares
+
+
 def girvan_newman(edges: DataFrame, adjacency: str = "remaining") -> DataFrame:
     """id, component and modularity of the best partition met while edges of largest betweenness are removed, until
     none is left.
 
     The first of equally good partitions is kept. adjacency: whether edges count as present while they remain
-    ('remaining') or throughout ('original').
+    ('remaining') or throughout ('original'). Betweenness lies within components, so each component of the graph is
+    dismantled by a task of its own; in the whole graph the component whose next removal is largest goes on, equal
+    ones together, and modularity is a sum over them. Larger graphs than ADJACENCY are refused.
     """
+    spark = edges.sparkSession
     start = durable(edges.select("src", "dst"), "graph")
+    m = start.count()
+    if m > ADJACENCY:
+        raise ValueError(f"{m} edges: all removals are computed for graphs of up to {ADJACENCY} edges")
     ids = durable(vertices(start), "vertices")
-    left, best, best_q = start, None, float("-inf")
-    while True:
-        parts = connected_components(left, ids)
-        q = modularity(parts, start, left if adjacency == "remaining" else None).first()["modularity"]
-        if q is not None and q > best_q:
-            best, best_q = durable(parts, "partition"), q
-        if left.isEmpty():
-            break
-        gone = top_edges(edge_betweenness(left)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        left = durable(left.join(gone, ["src", "dst"], "left_anti"), "graph")
-        if left.isEmpty():
-            break
-    if best is None:  # no edges
+    if not m:
         return connected_components(start, ids).withColumn("modularity", F.lit(None).cast("double"))
-    return best.withColumn("modularity", F.lit(best_q))
+    parts = connected_components(start, ids)
+    kind, kind_of = (x.dataType.simpleString() for x in (start.schema["src"], parts.schema["component"]))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True))
+        rows, left = [], len(pairs)
+        for step, value, gone, inside, squares in dismantle([(min(p), max(p)) for p in pairs]):
+            left -= len(gone)
+            rows.append((frame["component"].iloc[0], step, value, None, None, left, inside, squares))
+            rows += [(frame["component"].iloc[0], step, value, a, b, None, None, None) for a, b in gone]
+        out = pd.DataFrame(rows, columns=["component", "step", "value", "src", "dst", "left", "inside", "squares"], dtype=object)
+        return out
+
+    named = start.join(parts.select(F.col("id").alias("src"), "component"), "src")
+    schema = f"component {kind_of}, step int, value double, src {kind}, dst {kind}, left bigint, inside bigint, squares bigint"
+    steps = durable(named.groupBy("component").applyInPandas(run, schema), "steps")
+    # One row a step of a component: no more than there are edges.
+    queues: dict = defaultdict(list)
+    present = "left" if adjacency == "remaining" else "inside"
+    for row in steps.where("src IS NULL").select("component", "step", "value", present, "squares").orderBy("component", "step").toLocalIterator():
+        queues[row["component"]].append((row["value"], row[present], row["squares"]))
+    at = dict.fromkeys(queues, 0)
+    heap = [(-q[1][0], c) for c, q in queues.items() if len(q) > 1]
+    heapq.heapify(heap)
+    held, squares = sum(q[0][1] for q in queues.values()), sum(q[0][2] for q in queues.values())
+    best, log, done = round(held / m - squares / (4 * m * m), DECIMALS), [], 0
+    while heap:
+        most, more = heap[0][0], []
+        while heap and heap[0][0] == most:
+            _, c = heapq.heappop(heap)
+            q, at[c] = queues[c], at[c] + 1
+            held, squares = held + q[at[c]][1] - q[at[c] - 1][1], squares + q[at[c]][2] - q[at[c] - 1][2]
+            log.append(c)
+            if at[c] + 1 < len(q):
+                more.append((-q[at[c] + 1][0], c))
+        for x in more:
+            heapq.heappush(heap, x)
+        now = round(held / m - squares / (4 * m * m), DECIMALS)
+        if now > best and heap:
+            best, done = now, len(log)
+    taken = Counter(log[:done])
+    upto = spark.createDataFrame([(c, taken.get(c, 0)) for c in queues], f"component {kind_of}, upto int")
+    rest = steps.where("src IS NOT NULL").join(upto, "component").where("step > upto").select("src", "dst")
+    return connected_components(rest, ids).withColumn("modularity", F.lit(best))

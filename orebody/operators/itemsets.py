@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.plans.durable import durable
+
+#: Items of which every task may hold a list, and candidates that every task may count.
+ITEMS, CANDIDATES = 100_000, 1_000_000
+
 
 def baskets(pairs: DataFrame, key: str, item: str) -> DataFrame:
     """key and its sorted set of items."""
@@ -72,17 +77,33 @@ def candidates(found: DataFrame, mode: str = "pruned") -> DataFrame:
         parts = both.withColumn("out", F.explode("itemset")).withColumn("part", F.array_remove("itemset", F.col("out")))
         known = parts.join(found.select(F.col("itemset").alias("part")), "part", "left_semi")
         return known.groupBy("itemset").agg(F.count("*").alias("n")).where(F.col("n") == F.size("itemset")).select("itemset")
-    items = found.select(F.explode("itemset").alias("item")).distinct()
+    names = found.select(F.explode("itemset").alias("item")).distinct()
+    n = names.count()
+    if n > ITEMS:
+        raise ValueError(f"{n} items: candidates of this kind are made for {ITEMS} at most")
+    every = F.broadcast(names.agg(F.array_sort(F.collect_list("item")).alias("every")))  # one row
     if mode == "extend":
-        return found.join(items, ~F.array_contains("itemset", F.col("item"))).select(F.array_sort(F.concat("itemset", F.array("item"))).alias("itemset")).distinct()
+        grown = found.crossJoin(every).select("itemset", F.explode(F.array_except("every", "itemset")).alias("item"))
+        return grown.select(F.array_sort(F.concat("itemset", F.array("item"))).alias("itemset")).distinct()
     if mode != "combos":
         raise ValueError(f"unknown mode {mode}")
-    out, k = items.select(F.array("item").alias("itemset")), size.first()["k"] or 0
+    out, k = names.select(F.array("item").alias("itemset")), size.first()["k"] or 0
     for _ in range(k):
-        out = out.join(items, F.col("item") > F.element_at("itemset", -1)).select(F.concat("itemset", F.array("item")).alias("itemset"))
+        later = F.filter("every", lambda x: x > F.element_at("itemset", -1))
+        out = out.crossJoin(every).select("itemset", F.explode(later).alias("item")).select(F.concat("itemset", F.array("item")).alias("itemset"))
     return out
 
 
+def all_frequent(pairs: DataFrame, key: str, item: str, support: int) -> list[DataFrame]:
+    """The frequent itemsets of each size, until one has none."""
+    found: list[DataFrame] = []
+    while True:
+        level = durable(frequent(pairs, key, item, support, len(found) + 1), "level")
+        if level.isEmpty():
+            return found
+        found.append(level)
+
+
 def fp_growth(rows: DataFrame, support: int, total: int) -> DataFrame:
     """itemset and support by FP-growth; total: the number of baskets."""
     from pyspark.ml.fpm import FPGrowth
@@ -133,9 +154,45 @@ def son(rows: DataFrame, support: int, total: int, kind: str = "bigint", longest
         if held:
             yield out()
 
-    local = rows.select("items").mapInArrow(mine, f"itemset array<{kind}>").distinct()
-    pairs = rows.select("key", F.explode("items").alias("item"))
-    return support_of(local, pairs, "key", "item").where(F.col("support") >= support)
+    local = durable(rows.select("items").mapInArrow(mine, f"itemset array<{kind}>").distinct(), "candidates")
+    if local.count() > CANDIDATES:
+        counted = support_of(local, rows.select("key", F.explode("items").alias("item")), "key", "item")
+    else:
+        counted = counted_in(local, rows, kind)
+    return counted.where(F.col("support") >= support)
+
+
+def counted_in(candidates: DataFrame, rows: DataFrame, kind: str = "bigint") -> DataFrame:
+    """candidates (itemset; CANDIDATES at most) and their support in one pass over the baskets: every task holds the
+    candidates as a tree of items and sums what its baskets hold; only sums are shuffled."""
+    tree: dict = {}
+    for row in candidates.toLocalIterator():
+        node = tree
+        for x in sorted(row["itemset"]):
+            node = node.setdefault(x, {})
+        node[None] = True
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        kind_of = None
+
+        def walk(node: dict, items: list, at: int, found: tuple) -> None:
+            if None in node:
+                count[found] += 1
+            for i in range(at, len(items)):
+                below = node.get(items[i])
+                if below:
+                    walk(below, items, i + 1, (*found, items[i]))
+
+        for batch in batches:
+            kind_of = batch.schema.field(0).type
+            for basket in batch.column(0).to_pylist():
+                walk(sent.value, sorted(basket), 0, ())
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in count], kind_of), pa.array(list(count.values()), pa.int64())], ["itemset", "n"])
+
+    return rows.select("items").mapInArrow(run, f"itemset array<{kind}>, n bigint").groupBy("itemset").agg(F.sum("n").alias("support"))
 
 
 def report_lines(sets: DataFrame) -> DataFrame:
@@ -143,3 +200,17 @@ def report_lines(sets: DataFrame) -> DataFrame:
     name = F.concat(F.lit("("), F.concat_ws(", ", F.transform("itemset", lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'")))), F.lit(")"))
     rows = sets.select(F.size("itemset").alias("k"), name.alias("name"))
     return rows.groupBy("k").agg(F.concat_ws(",", F.array_sort(F.collect_list("name"))).alias("line"))
+
+
+def report(pairs: DataFrame, key: str, item: str, support: int, mode: str = "pruned") -> DataFrame:
+    """section ('Candidates' or 'Frequent Itemsets'), k and line: all levels. The candidates of level 1 are all items; a
+    level without candidates, and one without frequent sets, has no line."""
+    found = all_frequent(pairs, key, item, support)
+    asked = pairs.select(F.array(F.col(item)).alias("itemset")).distinct()
+    for level in found:
+        asked = asked.unionByName(candidates(level, mode))
+    sets = found[0].select("itemset") if found else asked.limit(0)
+    for level in found[1:]:
+        sets = sets.unionByName(level.select("itemset"))
+    both = [report_lines(rows).withColumn("section", F.lit(name)) for name, rows in (("Candidates", asked), ("Frequent Itemsets", sets))]
+    return both[0].unionByName(both[1]).select("section", "k", "line")

@@ -79,9 +79,11 @@ def bottom_sample(stream: DataFrame, k: int = RESERVOIR, seed: int = SEED) -> Da
     return stream.withColumn("drawn", draw(F.col("seq"), seed)).orderBy("drawn", "seq").limit(k).select("seq", "user_id")
 
 
-def reservoir(stream: DataFrame, k: int = RESERVOIR, every: int = 100, seed: int = SEED) -> DataFrame:
+def reservoir(stream: DataFrame, k: int = RESERVOIR, every: int = 100, seed: int = SEED, batch: int = 1) -> DataFrame:
     """The sequential reservoir: after every `every` records, seqnum and the users in SLOTS.
 
+    batch: records come in batches of so many, and it is only looked at when one is whole.
+
     The order of its random draws is the stream's order, so one task makes it, holding k users; the stream must be
     one that one task can read. bottom_sample scales.
     """
@@ -96,7 +98,7 @@ def reservoir(stream: DataFrame, k: int = RESERVOIR, every: int = 100, seed: int
                     kept.append(user)
                 elif rng.random() < k / n:
                     kept[rng.randint(0, k - 1)] = user
-                if n % every == 0:
+                if n % every == 0 and n % batch == 0:
                     rows.append((n, *(kept[i] if i < len(kept) else None for i in SLOTS)))
             if rows:
                 yield pd.DataFrame(rows, columns=["seqnum", *names])

@@ -17,9 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the registered queries.
 YEAR, BATCH, SHARED, BASKET, DRAWS, FUNCTIONS, BAND_ROWS, JACCARD = 1998, 100, 7, 3, 11, 100, 5, 0.5
 PAIR_SHARE, TRIPLE_SHARE, LABELS, NEAR, CLOSE = 0.002, 0.0003, 5, 16.0, 3.0
-#: The blend's own model.
-BLEND = {"maxIter": 200, "maxDepth": 15, "stepSize": 0.05, "featureSubsetStrategy": "0.3", "subsamplingRate": 1.0, "minInstancesPerNode": 1}
-
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -97,6 +94,12 @@ def partition_counts(spark, d):
     return found.agg(F.count("*").alias("n_partition"), F.sum("n_items").alias("n_items"))
 
 
+@query(f"{_reviews} SELECT 'default' AS kind, count(*) AS n_items FROM reviews UNION ALL SELECT 'customized', count(*) FROM reviews")
+def partition_report(spark, d):
+    found = explore.partition_report(views.reviews(spark, d), "business_id", 5)
+    return found.select("kind", F.aggregate("n_items", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_items"))
+
+
 _city = views.with_sql("reviews", "business_city")
 
 
@@ -203,22 +206,24 @@ def freq_triples(spark, d):
     return _named(_frequent(spark, d, TRIPLE_SHARE, 3))
 
 
-_upto3 = f"{_pairs} SELECT * FROM ({_one}) UNION ALL SELECT * FROM ({_two}) UNION ALL SELECT * FROM ({_three.format(_sql_support(PAIR_SHARE))})"
+#: All sets of items that lie within a basket, counted: every level at once.
+_subsets = f"WITH RECURSIVE {views.SQL['pairs']}, within AS (SELECT key, [item] AS s FROM pairs UNION ALL SELECT w.key, list_append(w.s, p.item) FROM within w JOIN pairs p ON p.key = w.key AND p.item > w.s[-1]), found AS (SELECT s, count(*) AS support FROM within GROUP BY s HAVING count(*) >= {_sql_support(PAIR_SHARE)})"
+_all_levels = f"{_subsets} SELECT array_to_string(s, ',') AS itemset, support FROM found"
 
 
-@query(_upto3)
+@query(_all_levels)
 def freq_itemsets_fpgrowth(spark, d):
     pairs = views.basket_pairs(spark, d)
-    rows = itemsets.baskets(pairs, "key", "item")
-    found = itemsets.fp_growth(rows, _support(pairs, PAIR_SHARE), rows.count())
-    return _named(found.where(F.size("itemset") <= 3))
+    rows = durable(itemsets.baskets(pairs, "key", "item"), "baskets")
+    total = rows.count()
+    return _named(itemsets.fp_growth(rows, max(2, int(total * PAIR_SHARE)), total))
 
 
-@query(_upto3)
+@query(_all_levels)
 def son_itemsets(spark, d):
-    pairs = views.basket_pairs(spark, d)
-    rows = itemsets.baskets(pairs, "key", "item")
-    return _named(itemsets.son(rows, _support(pairs, PAIR_SHARE), rows.count(), longest=3))
+    rows = durable(itemsets.baskets(views.basket_pairs(spark, d), "key", "item"), "baskets")
+    total = rows.count()
+    return _named(itemsets.son(rows, max(2, int(total * PAIR_SHARE)), total))
 
 
 @query(f"""{_pairs}, two AS (SELECT a.item AS x, b.item AS y FROM pairs a JOIN pairs b ON a.key = b.key AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {_sql_support(PAIR_SHARE)})
@@ -227,11 +232,27 @@ def itemset_candidates(spark, d):
     return itemsets.candidates(durable(_frequent(spark, d, PAIR_SHARE, 2), "pairs")).select(itemsets.listed("itemset").alias("itemset"))
 
 
-@query(f"""{_pairs}, rows AS (SELECT CAST(1 AS INTEGER) AS k, '(''' || item || ''')' AS name FROM pairs GROUP BY item HAVING count(*) >= {_sql_support(PAIR_SHARE)} UNION ALL
-    SELECT 2, '(''' || a.item || ''', ''' || b.item || ''')' FROM pairs a JOIN pairs b ON a.key = b.key AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {_sql_support(PAIR_SHARE)})
-    SELECT k, string_agg(name, ',' ORDER BY name) AS line FROM rows GROUP BY k""")
+def _candidate_query(mode: str):
+    def run(spark, d):
+        found = durable(_frequent(spark, d, PAIR_SHARE, 1), "items")
+        return itemsets.candidates(found, mode).select(itemsets.listed("itemset").alias("itemset"))
+
+    return run
+
+
+for _mode in ("extend", "combos"):
+    QUERIES[f"itemset_candidates_{_mode}"] = _candidate_query(_mode)
+    SQL[f"itemset_candidates_{_mode}"] = f"{_pairs}, one AS (SELECT item FROM pairs GROUP BY item HAVING count(*) >= {_sql_support(PAIR_SHARE)}) SELECT p.item || ',' || q.item AS itemset FROM one p JOIN one q ON p.item < q.item"
+
+
+@query(f"""{_subsets}, asked AS (SELECT DISTINCT [item] AS s FROM pairs UNION ALL
+    SELECT s FROM (SELECT list_append(a.s, b.s[-1]) AS s FROM found a JOIN found b ON len(a.s) = len(b.s) AND a.s[:-2] = b.s[:-2] AND a.s[-1] < b.s[-1]) c
+    WHERE (SELECT count(*) FROM (SELECT unnest(range(1, len(c.s) + 1)) AS i) JOIN found f ON f.s = list_concat(c.s[: i - 1], c.s[i + 1 :])) = len(c.s)),
+    rows AS (SELECT 'Candidates' AS section, s FROM asked UNION ALL SELECT 'Frequent Itemsets', s FROM found)
+    SELECT section, CAST(len(s) AS INTEGER) AS k, string_agg(name, ',' ORDER BY name) AS line FROM (SELECT section, s, '(' || chr(39) || array_to_string(s, chr(39) || ', ' || chr(39)) || chr(39) || ')' AS name FROM rows) GROUP BY section, len(s)""")
 def itemset_report(spark, d):
-    return itemsets.report_lines(_frequent(spark, d, PAIR_SHARE, 1).unionByName(_frequent(spark, d, PAIR_SHARE, 2)))
+    pairs = views.basket_pairs(spark, d)
+    return itemsets.report(pairs, "key", "item", _support(pairs, PAIR_SHARE))
 
 
 @query(f"{views.with_sql('sets')} SELECT elem, dense_rank() OVER (ORDER BY elem) - 1 AS number FROM (SELECT DISTINCT elem FROM sets)")
@@ -367,20 +388,20 @@ def _narrow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def gbt_predict(spark, d):
-    return recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, featureSubsetStrategy="0.5")
+    return recommend.predict_trees(*_narrow(spark, d), recommend.NARROW)
 
 
 @query()
 def gbt_predict_wide(spark, d):
     rows = views.reviews(spark, d).select("user_id", "business_id", "stars")
     both = [recommend.features_left(x, *_features(spark, d)) for x in (rows, views.asked_pairs(spark, d))]
-    return recommend.predict_trees(*both, recommend.WIDE_USER + recommend.WIDE_BUSINESS, featureSubsetStrategy="0.6")
+    return recommend.predict_trees(*both, recommend.WIDE_USER + recommend.WIDE_BUSINESS, **recommend.WIDE_TREES)
 
 
 @query()
 def hybrid_blend(spark, d):
     neighbours = recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
-    return recommend.blend(recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, **BLEND), neighbours)
+    return recommend.blend(recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, **recommend.BLEND_TREES), neighbours)
 
 
 # Graphs
@@ -442,19 +463,26 @@ def community_report(spark, d):
     return community_lines(graph.groups(graph.label_propagation(_edges(spark, d), LABELS)))
 
 
-@query(f"""{_graph}, walk AS (SELECT min(id) AS id, 0 AS depth FROM ids UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.depth < 64 AND w.depth < (SELECT count(*) FROM ids))
+@query(f"""{_graph}, walk AS (SELECT min(id) AS id, 0 AS depth FROM ids UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.depth < (SELECT count(*) FROM ids))
     SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE id IS NOT NULL GROUP BY id""")
 def bfs_depths(spark, d):
     edges = _edges(spark, d)
     return graph.bfs_depths(edges, graph.vertices(edges).agg(F.min("id")).first()[0])
 
 
-@query()
+#: Walks of each length between each two vertices; the shortest ones are paths, and an edge (u, v) lies on as many from
+#: s to t as there are from s to u and from v to t, if their lengths add up.
+_between = f"""{_graph}, walks AS (SELECT id AS s, id AS t, 0 AS n, 1.0::DOUBLE AS c FROM ids UNION ALL SELECT w.s, b.dst, w.n + 1, sum(w.c) FROM walks w JOIN both_ways b ON b.src = w.t WHERE w.n < (SELECT count(*) FROM ids) GROUP BY w.s, b.dst, w.n),
+    short AS (SELECT s, t, min(n) AS n, arg_min(c, n) AS c FROM walks GROUP BY s, t),
+    between AS (SELECT e.src AS a, e.dst AS b, round(sum(x.c * y.c / z.c), 9) AS betweenness FROM edges e JOIN short x ON x.t = e.src JOIN short y ON y.s = e.dst JOIN short z ON z.s = x.s AND z.t = y.t AND z.n = x.n + 1 + y.n GROUP BY e.src, e.dst)"""
+
+
+@query(f"{_between} SELECT a, b, betweenness FROM between")
 def edge_betweenness(spark, d):
     return graph.edge_betweenness(_edges(spark, d))
 
 
-@query()
+@query(f"{_between} SELECT a, b, betweenness FROM between WHERE betweenness = (SELECT max(betweenness) FROM between)")
 def gn_top_edges(spark, d):
     return graph.top_edges(durable(graph.edge_betweenness(_edges(spark, d)), "betweenness"))
 
@@ -507,6 +535,11 @@ def reservoir_compat(spark, d):
     return sketches.reservoir(views.stream(spark, d))
 
 
+@query()
+def reservoir_batches(spark, d):
+    return sketches.reservoir(views.stream(spark, d), batch=30)
+
+
 def _drawn(x: str, seed: int) -> str:
     return f"(({x} % {DRAW_PRIME} + {DRAW_PRIME}) * 48271 + {seed}) % {DRAW_PRIME} * 69621 % {DRAW_PRIME}"
 
@@ -557,16 +590,38 @@ def bfr_init_outliers(spark, d):
     return kept.select("id", F.lit(False).alias("outlier")).unionByName(out.select("id", F.lit(True).alias("outlier")))
 
 
+@query("WITH g AS (SELECT vec_id AS id, CASE WHEN vec_id % 40 = 0 THEN 1000 + vec_id ELSE label END AS cluster FROM embeddings) SELECT id, count(*) OVER (PARTITION BY cluster) = 1 AS outlier FROM g")
+def bfr_singletons(spark, d):
+    points = views.points(spark, d).select("id", "features", F.when(F.col("id") % 40 == 0, F.col("id") + 1000).otherwise(F.col("label")).alias("cluster"))
+    several, alone = cluster.split_singletons(points)
+    return several.select("id", F.lit(False).alias("outlier")).unionByName(alone.select("id", F.lit(True).alias("outlier")))
+
+
 @query(f"{_nearest} SELECT id, cluster FROM best WHERE r = 1 AND round(g, 6) < {NEAR}")
 def bfr_assign(spark, d):
     return cluster.assign(views.points(spark, d).select("id", "features"), _centers_of(spark, d), NEAR)[0].select("id", "cluster")
 
 
 @query(f"{_centers} SELECT a, b, distance FROM (SELECT p.cluster AS a, q.cluster AS b, round(sqrt(sum((p.m - q.m) * (p.m - q.m))), 6) AS distance FROM cent p JOIN cent q ON p.dim = q.dim AND p.cluster < q.cluster GROUP BY p.cluster, q.cluster) WHERE distance < {CLOSE}")
-def bfr_merge(spark, d):
+def bfr_close(spark, d):
     return cluster.close_centers(_centers_of(spark, d), CLOSE)
 
 
+_merged = f"""WITH RECURSIVE {_centers.removeprefix("WITH ")}, near AS (SELECT p.cluster AS a, q.cluster AS b FROM cent p JOIN cent q ON p.dim = q.dim AND p.cluster <> q.cluster GROUP BY p.cluster, q.cluster HAVING round(sqrt(sum((p.m - q.m) * (p.m - q.m))), 6) < {CLOSE}),
+    reach AS (SELECT DISTINCT cluster, cluster AS r FROM cent UNION SELECT n.b, x.r FROM reach x JOIN near n ON n.a = x.cluster), names AS (SELECT cluster, min(r) AS into_ FROM reach GROUP BY cluster)"""
+
+
+@query(f"{_merged} SELECT into_ AS cluster, CAST(dim AS INTEGER) AS dim, count(*) AS n, round(sum(x), 6) AS sum, round(sum(x * x), 6) AS sumsq FROM dims JOIN names ON names.cluster = dims.label GROUP BY into_, dim")
+def bfr_merge(spark, d):
+    rows = cluster.merge_close(durable(_stats(spark, d), "moments"), CLOSE)
+    return rows.select("cluster", "dim", "n", F.round("sum", 6).alias("sum"), F.round("sumsq", 6).alias("sumsq"))
+
+
 @query()
 def bfr_rounds(spark, d):
     return cluster.bfr(views.points(spark, d).select("id", "features"), 10)[0]
+
+
+@query()
+def bfr_assignments(spark, d):
+    return cluster.bfr(views.points(spark, d).select("id", "features"), 10)[1]

@@ -167,6 +167,7 @@ def test_reservoirs(spark):
         if n % 100 == 0:
             want.append((n, *(kept[i] for i in (0, 20, 40, 60, 80))))
     assert rows(sketches.reservoir(stream), "seqnum") == want
+    assert rows(sketches.reservoir(stream, batch=30), "seqnum") == [w for w in want if w[0] % 30 == 0]
     assert sketches.bottom_sample(stream, 30).count() == 30
     assert sketches.bottom_sample(stream.limit(7), 30).count() == 7
 
@@ -213,7 +214,92 @@ def test_bfr_finds_blobs(spark):
     assert len(named) == 3 and not (named[0] & named[1] | named[1] & named[2] | named[0] & named[2])
 
 
+def test_boosted_trees_against_plain_ones():
+    """The first split of a tree is the best of all, by the gain with L1 and L2; leaves are the shrunk means."""
+    import numpy as np
+
+    from orebody.operators import boosting
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, (200, 3)).astype(float), rng.normal(3, 1, 200)
+    y += 2 * (x[:, 1] > 4)
+    l1, l2, least = 1.5, 3.0, 12
+    cuts = boosting.edges(x)
+    b, g = boosting.binned(x, cuts), boosting.BASE - y
+    shrunk = lambda v: np.sign(v) * max(abs(v) - l1, 0)
+    score = lambda m: shrunk(g[m].sum()) ** 2 / (m.sum() + l2)
+    best = max(((score(m) + score(~m) - score(np.ones(200, bool)), f, c) for f in range(3) for c in range(9) for m in [x[:, f] <= c] if least <= m.sum() <= 200 - least))
+    feature, at, child, value = boosting.grow(b, g, np.arange(200), np.arange(3), 1, least, l1, l2)
+    assert (feature[0], cuts[feature[0]][at[0]]) == best[1:] == (1, 4)
+    left = x[:, 1] <= 4
+    assert np.allclose(value[[child[0], child[0] + 1]], [-shrunk(g[m].sum()) / (m.sum() + l2) for m in (left, ~left)])
+    model = boosting.fit(x, y, trees=60, depth=4, rate=0.2, least=5, l2=1.0)
+    assert np.mean((boosting.predict(model, x) - y) ** 2) < 0.6 * np.var(y)
+    assert boosting.predict(boosting.fit(x[:0], y[:0]), x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_girvan_newman_of_several_components_against_a_loop(spark):
+    """Edge by edge over the whole graph; components take turns by their largest betweenness."""
+    rng = random.Random(12)
+    pairs = sorted({tuple(sorted(rng.sample(range(k, k + 8), 2))) for k in (0, 10, 20, 30) for _ in range(11)})
+    around = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for p in pairs for v in p}
+    m, degrees = len(pairs), {v: len(w) for v, w in around.items()}
+    for adjacency in ("remaining", "original"):
+        left, best, found = list(pairs), -9.0, None
+        while left:
+            near = {v: [w for w in around[v] if (min(v, w), max(v, w)) in left] for v in around}
+            parts = [sorted(p) for p in graph._split(list(near), near)]
+            name = {v: p[0] for p in parts for v in p}
+            inside = len(left) if adjacency == "remaining" else sum(name[a] == name[b] for a, b in pairs)
+            q = round(inside / m - sum(sum(degrees[v] for v in p) ** 2 for p in parts) / (4 * m * m), 9)
+            if q > best:
+                best, found = q, name
+            total = {}
+            for root in near:
+                for e, c in graph.credits(near, root).items():
+                    total[e] = total.get(e, 0) + c
+            most = max(round(c / 2, 9) for c in total.values())
+            left = [e for e in left if round(total[e] / 2, 9) < most]
+        got = graph.girvan_newman(spark.createDataFrame(pairs, "src long, dst long"), adjacency).collect()
+        assert {r["id"]: r["component"] for r in got} == found and abs(got[0]["modularity"] - best) < 1e-8
+
+
+def test_bfr_keeps_summaries_and_merges(spark):
+    """Outlying pairs of blobs that lie close together end as one compressed cluster; each point has one assignment."""
+    rng = random.Random(5)
+    points = [(i, [rng.gauss(60 * (i % 2), 1), rng.gauss(0, 1)]) for i in range(200)]
+    points += [(200 + i, [rng.gauss(400, 0.2), rng.gauss(300 + i % 2, 0.2)]) for i in range(40)]
+    rounds, out = cluster.bfr(spark.createDataFrame(points, "id long, features array<double>"), 2, chunks=3)
+    rows_ = {r["id"]: r["cluster"] for r in out.collect()}
+    assert len(rows_) == out.count() == 240
+    for r in rounds.collect():
+        assert r["n_discard"] + r["n_compressed"] + r["n_retained"] <= 240
+    last = rounds.orderBy(F.col("round").desc()).first()
+    assert last["n_discard"] + last["n_compressed"] + last["n_retained"] == 240 and last["n_compressed_clusters"] <= 2
+
+
+def test_candidates_are_counted_in_baskets(spark):
+    found = itemsets.baskets(spark.createDataFrame(BASKETS, "k long, i string"), "k", "i")
+    asked = spark.createDataFrame([(["1", "2"],), (["1", "2", "3"],), (["3"],), (["9"],)], "itemset array<string>")
+    assert rows(itemsets.counted_in(asked, found, "string"), "itemset") == [(["1", "2"], 2), (["1", "2", "3"], 1), (["3"], 3)]
+
+
+def test_banding_recall_follows_its_curve(spark):
+    """Of pairs of similarity s, 20 bands of 5 rows find 1 - (1 - s**5)**20, within three standard deviations."""
+    rng, rows_ = random.Random(3), []
+    for i in range(300):
+        both, own = rng.sample(range(10**8), 40), rng.sample(range(10**8), 20)
+        rows_ += [(2 * i, x) for x in both + own[:10]] + [(2 * i + 1, x) for x in both + own[10:]]
+    sigs = similarity.signatures(spark.createDataFrame(rows_, "id long, elem long"))
+    found = sum(b == a + 1 and a % 2 == 0 for a, b in rows(similarity.candidate_pairs(sigs)))
+    want = 1 - (1 - (40 / 60) ** 5) ** 20
+    assert abs(found / 300 - want) < 3 * (want * (1 - want) / 300) ** 0.5
+
+
 def test_partitions_and_codes(spark):
+    report = explore.partition_report(spark.range(100).withColumn("k", F.lit(1)), "k", 5).collect()
+    assert [(r["kind"], sum(r["n_items"]), len(r["n_items"]) == r["n_partition"]) for r in report] == [("default", 100, True), ("customized", 100, True)] and report[1]["n_partition"] == 5
+
     df = spark.range(100).withColumn("k", F.lit(1))
     found = rows(explore.partition_counts(df, "k", 5), "part")
     assert [p for p, _ in found] == [0, 1, 2, 3, 4] and sorted(n for _, n in found) == [0, 0, 0, 0, 100]
@@ -237,6 +323,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rows(files.points(spark, str(tmp_path / "p.csv")), "id") == [(1, [0.5, 1.5]), (2, [2.5, 3.5])]
     (tmp_path / "ids.txt").write_text("u1\nu2\n\n")
     assert rows(files.id_lines(spark, str(tmp_path / "ids.txt")), "seq") == [(1, "u1"), (2, "u2")]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text("".join(f"u{i}\n" for i in range(500)))
+    (tmp_path / "lines" / "b.txt").write_text("last")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert rows(files.id_lines(spark, str(tmp_path / "lines")), "seq") == [*((i + 1, f"u{i}") for i in range(500)), (501, "last")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     out = spark.createDataFrame([("u", "b,c", 3.5)], "user_id string, business_id string, prediction double")
     sinks.write_predictions(out, str(tmp_path / "out"))
     assert files.csv_rows(spark, str(tmp_path / "out"), files.RATING).first()["business_id"] == "b,c"

@@ -47,8 +47,8 @@ def test_recommenders_use_the_models_of_the_reference(spark, sf, monkeypatch):
     monkeypatch.setattr(recommend, "predict_trees", record)
     for name in ("gbt_predict", "gbt_predict_wide", "hybrid_blend"):
         registry.QUERIES[name](spark, sf)
-    parts = [(x["maxIter"], x["maxDepth"], x["stepSize"], x["featureSubsetStrategy"], x["subsamplingRate"], x["minInstancesPerNode"]) for x in used]
-    assert parts == [(300, 17, 0.02, "0.5", 0.8, 101), (300, 17, 0.02, "0.6", 0.8, 101), (200, 15, 0.05, "0.3", 1.0, 1)]
+    names = ("trees", "depth", "rate", "columns", "share", "least", "l1", "l2")
+    assert [tuple(x[n] for n in names) for x in used] == [(300, 17, 0.02, 0.5, 0.8, 101, 0.2765, 9.927), (300, 17, 0.02, 0.6, 0.8, 101, 0.2765, 9.927), (200, 15, 0.05, 0.3, 1.0, 1, 10.0, 1.0)]
 
 
 def test_son_mines_until_a_level_is_empty(spark):
