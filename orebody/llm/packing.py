@@ -28,7 +28,7 @@ from orebody.llm.common import ship, steps, utf8
 from orebody.llm.encoder import encoder
 
 #: Examples that wait at a time, and those that stay waiting for the next rows.
-WAITING, KEPT = 2048, 256
+WAITING, KEPT = 1024, 128
 
 
 class Packer:
