@@ -72,10 +72,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.col("label").cast("bigint").alias("label"))
 
 
-def asked_pairs(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """user_id, business_id to predict: known pairs, unknown users and unknown businesses, for the orders whose key
-    is a multiple of `every` (50 in the SQL)."""
-    orders = table(spark, sf_dir, "orders").where(f"o_orderkey % {every} = 0")
+def asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, business_id to predict, for all orders: known pairs, unknown users and unknown businesses."""
+    orders = table(spark, sf_dir, "orders")
     user = F.when(F.col("o_orderkey") % 350 == 0, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
     business = F.when(F.col("o_orderkey") % 550 == 0, F.lit(1_000_000_000).cast("bigint")).otherwise(F.col("o_orderkey") % 97 + 1)
     return orders.select(user.alias("user_id"), business.alias("business_id")).distinct()
@@ -89,7 +88,7 @@ SQL = {
     "stream": "stream AS (SELECT event_id + 1 AS seq, CAST(user_id AS VARCHAR) AS user_id FROM events)",
     "sets": "sets AS (SELECT DISTINCT id, elem FROM (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS elem FROM documents) WHERE elem <> '')",
     "bought": 'bought AS (SELECT DISTINCT o_custkey AS "user", l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)',
-    "asked": "asked AS (SELECT DISTINCT CASE WHEN o_orderkey % 350 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS user_id, CASE WHEN o_orderkey % 550 = 0 THEN 1000000000 ELSE o_orderkey % 97 + 1 END AS business_id FROM orders WHERE o_orderkey % 50 = 0)",
+    "asked": "asked AS (SELECT DISTINCT CASE WHEN o_orderkey % 350 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS user_id, CASE WHEN o_orderkey % 550 = 0 THEN 1000000000 ELSE o_orderkey % 97 + 1 END AS business_id FROM orders)",
     "dims": "dims AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)",
 }
 
