@@ -48,11 +48,26 @@ def passing(spark: SparkSession, path: str) -> None:
     store.deleteOnExit(found)
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove all intermediates of the application; results that were made from them must have been read by then."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+def written(spark: SparkSession) -> list[str]:
+    """The intermediates of the application that are there now, in the order in which they were written."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these intermediates; whatever reads them must be done."""
+    app = spark.sparkContext.applicationId
+    gone = set(paths) & set(written(spark))
+    for path in gone:
         found, store = _path(spark, path)
         store.delete(found, True)
+    if gone:
+        _WRITTEN[app] = [p for p in _WRITTEN[app] if p not in gone]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediates of the application; results that were made from them must have been read by then."""
+    remove(spark, written(spark))
+    _WRITTEN.pop(spark.sparkContext.applicationId, None)
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
