@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.scalars import clamp
+from orebody.plans.durable import durable
 from orebody.sources.files import COMPLIMENTS
 
 #: The rating of an unknown user, the power of the compliments, the parameters of the two models.
 UNKNOWN, POWER = 3.5, 1.2
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 1_000_000
 NARROW = ["user_avg", "user_count", "business_avg", "business_count"]
 WIDE_USER = ["average_stars", "review_count", "useful", "funny", "cool", "fans", "compliments", "elite_flag"]
 WIDE_BUSINESS = ["business_stars", "business_reviews", "kids", "price"]
@@ -60,25 +63,50 @@ def predict_item_based(train: DataFrame, pairs: DataFrame, neighbours: int = 15)
     UNKNOWN for unknown users. Only weights between an asked item and items its users rated are computed.
     """
     c = F.col
-    rated = train.groupBy("user_id", "business_id").agg(F.avg("stars").alias("stars"))
-    means = train.groupBy("user_id").agg(F.avg("stars").alias("mean"))
-    dev = rated.join(means, "user_id").select("user_id", "business_id", (c("stars") - c("mean")).alias("dev"))
-    asked = pairs.select("user_id", "business_id").distinct()
-    wanted = asked.join(dev.select("user_id", c("business_id").alias("other"), c("dev").alias("other_dev")), "user_id").where("business_id <> other")
-    items = wanted.select("business_id", "other").distinct()
-    x = dev.select("user_id", "business_id", c("dev").alias("x"))
-    y = dev.select("user_id", c("business_id").alias("other"), c("dev").alias("y"))
-    common = x.join(y, "user_id").join(items, ["business_id", "other"])
+    user, asked = Window.partitionBy("user_id"), pairs.select("user_id", "business_id").distinct()
+    rated = train.select("user_id", "business_id", "stars").repartition("user_id").groupBy("user_id", "business_id").agg(F.sum("stars").alias("total"), F.count("stars").alias("n"))
+    rated = rated.withColumn("mean", F.sum("total").over(user) / F.sum("n").over(user)).withColumn("first", F.row_number().over(user.orderBy("business_id")) == 1)
+    dev = durable(rated.select("user_id", c("business_id").alias("other"), (c("total") / c("n") - c("mean")).alias("other_dev"), "mean", "first"), "deviations")
+    x = dev.select("user_id", c("other").alias("business_id"), c("other_dev").alias("x")).join(_sent(pairs.select("business_id").distinct(), "items"), "business_id", "left_semi")
+    common = dev.select("user_id", "other", c("other_dev").alias("y")).join(_sent(x, "raters"), "user_id").where("business_id <> other")
     sums = common.groupBy("business_id", "other").agg(F.round(F.sum(c("x") * c("y")), 9).alias("xy"), F.round(F.sum(c("x") * c("x")), 9).alias("xx"), F.round(F.sum(c("y") * c("y")), 9).alias("yy"))
-    weights = sums.where("xx > 0 AND yy > 0").select("business_id", "other", F.round(c("xy") / F.sqrt(c("xx") * c("yy")), 6).alias("w"))
-    best = Window.partitionBy("user_id", "business_id").orderBy(c("w").desc(), c("other"))
-    near = wanted.join(weights, ["business_id", "other"]).withColumn("place", F.row_number().over(best)).where(c("place") <= neighbours)
-    shift = near.groupBy("user_id", "business_id").agg((F.sum(c("w") * c("other_dev")) / F.sum(F.abs("w"))).alias("shift"))
-    out = asked.join(means, "user_id", "left").join(shift, ["user_id", "business_id"], "left")
+    weights = durable(sums.where("xx > 0 AND yy > 0").select("business_id", "other", F.round(c("xy") / F.sqrt(c("xx") * c("yy")), 6).alias("w")), "weights")
+    # Each user has a row without an item besides: asked pairs without neighbours keep theirs, and nothing is joined to the asked pairs anew.
+    row, none = F.struct("other", "other_dev"), F.lit(None)
+    none = F.struct(none.cast(dev.schema["other"].dataType).alias("other"), none.cast("double").alias("other_dev"))
+    rows = dev.select("user_id", "mean", F.inline(F.when(c("first"), F.array(row, none)).otherwise(F.array(row))))
+    wanted = _weighted(asked.join(rows, "user_id", "left").where("other IS NULL OR business_id <> other"), weights).where("other IS NULL OR w IS NOT NULL")
+    best = Window.partitionBy("user_id", "business_id").orderBy(c("w").desc_nulls_last(), c("other"))
+    near = wanted.withColumn("place", F.row_number().over(best)).where((c("place") <= neighbours) | c("other").isNull())
+    weight = F.sum(F.abs("w"))
+    shift = F.when(weight == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(c("w") * c("other_dev")), weight))  # 0 / 0 as in the SQL, where it gives 5
+    out = near.groupBy("user_id", "business_id").agg(F.max("mean").alias("mean"), shift.alias("shift"))
     value = clamp(c("mean") + F.coalesce("shift", F.lit(0.0)), 1.0, 5.0)
     return out.select("user_id", "business_id", F.round(F.coalesce(value, F.lit(UNKNOWN)), 4).alias("prediction"))
 
 
+def _sent(rows: DataFrame, tag: str) -> DataFrame:
+    """rows, to be sent to all tasks if they are few; otherwise Spark deals both sides of a join."""
+    rows = durable(rows, tag)
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def _weighted(wanted: DataFrame, weights: DataFrame) -> DataFrame:
+    """wanted with the weight w of business_id and other, or null.
+
+    The weights go to the tasks in up to four parts, so that wanted, by far the largest, stays where it is; only more weights than that deal it.
+    """
+    key = ["business_id", "other"]
+    parts = max(1, -(-weights.count() // SENT))
+    if parts > 4:
+        return wanted.join(weights, key, "left")
+    for i in range(parts):
+        part = weights.where(F.pmod(F.xxhash64(*key), F.lit(parts)) == i).withColumnRenamed("w", f"w_{i}")
+        wanted = wanted.join(F.broadcast(part), key, "left")
+    names = [f"w_{i}" for i in range(parts)]
+    return wanted.withColumn("w", F.coalesce(*names)).drop(*names)
+
+
 def rating_map(train: DataFrame) -> DataFrame:
     """business_id and a map from user to the user's last rating (by date, then seq, then rating)."""
     last = train.groupBy("business_id", "user_id").agg(F.max(F.struct("date", "seq", "stars"))["stars"].alias("stars"))
