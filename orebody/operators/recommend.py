@@ -22,6 +22,12 @@ WIDE_TREES = TREES | {"columns": 0.6}
 BLEND_TREES = {"trees": 200, "depth": 15, "rate": 0.05, "least": 1, "l1": 10.0, "l2": 1.0, "columns": 0.3, "share": 1.0, "seed": 2020}
 
 
+def sent(rows: DataFrame, tag: str) -> DataFrame:
+    """rows, to be sent to all tasks if they are few; otherwise Spark deals both sides of a join."""
+    rows = durable(rows, tag)
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def user_features(users: DataFrame) -> DataFrame:
     """user_id and the eight user features."""
     compliments = F.aggregate(F.array(*(F.pow(F.col(f"compliment_{c}").cast("double"), F.lit(POWER)) for c in COMPLIMENTS)), F.lit(0.0), lambda a, x: a + x)
@@ -67,8 +73,8 @@ def predict_item_based(train: DataFrame, pairs: DataFrame, neighbours: int = 15)
     rated = train.select("user_id", "business_id", "stars").repartition("user_id").groupBy("user_id", "business_id").agg(F.sum("stars").alias("total"), F.count("stars").alias("n"))
     rated = rated.withColumn("mean", F.sum("total").over(user) / F.sum("n").over(user)).withColumn("first", F.row_number().over(user.orderBy("business_id")) == 1)
     dev = durable(rated.select("user_id", c("business_id").alias("other"), (c("total") / c("n") - c("mean")).alias("other_dev"), "mean", "first"), "deviations")
-    x = dev.select("user_id", c("other").alias("business_id"), c("other_dev").alias("x")).join(_sent(pairs.select("business_id").distinct(), "items"), "business_id", "left_semi")
-    common = dev.select("user_id", "other", c("other_dev").alias("y")).join(_sent(x, "raters"), "user_id").where("business_id <> other")
+    x = dev.select("user_id", c("other").alias("business_id"), c("other_dev").alias("x")).join(sent(pairs.select("business_id").distinct(), "items"), "business_id", "left_semi")
+    common = dev.select("user_id", "other", c("other_dev").alias("y")).join(sent(x, "raters"), "user_id").where("business_id <> other")
     sums = common.groupBy("business_id", "other").agg(F.round(F.sum(c("x") * c("y")), 9).alias("xy"), F.round(F.sum(c("x") * c("x")), 9).alias("xx"), F.round(F.sum(c("y") * c("y")), 9).alias("yy"))
     weights = durable(sums.where("xx > 0 AND yy > 0").select("business_id", "other", F.round(c("xy") / F.sqrt(c("xx") * c("yy")), 6).alias("w")), "weights")
     # Each user has a row without an item besides: asked pairs without neighbours keep theirs, and nothing is joined to the asked pairs anew.
@@ -85,12 +91,6 @@ def predict_item_based(train: DataFrame, pairs: DataFrame, neighbours: int = 15)
     return out.select("user_id", "business_id", F.round(F.coalesce(value, F.lit(UNKNOWN)), 4).alias("prediction"))
 
 
-def _sent(rows: DataFrame, tag: str) -> DataFrame:
-    """rows, to be sent to all tasks if they are few; otherwise Spark deals both sides of a join."""
-    rows = durable(rows, tag)
-    return F.broadcast(rows) if rows.count() <= SENT else rows
-
-
 def _weighted(wanted: DataFrame, weights: DataFrame) -> DataFrame:
     """wanted with the weight w of business_id and other, or null.
 

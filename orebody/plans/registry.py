@@ -376,17 +376,20 @@ def cf_item_based(spark, d):
     return recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
 
 
-def _narrow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train = views.reviews(spark, d)
-    user = train.groupBy("user_id").agg(F.avg("stars").alias("user_avg"), F.count("*").cast("double").alias("user_count"))
-    business = train.groupBy("business_id").agg(F.avg("stars").alias("business_avg"), F.count("*").cast("double").alias("business_count"))
-    asked = recommend.features_inner(views.asked_pairs(spark, d), user, business)
-    return recommend.features_inner(train.select("user_id", "business_id", "stars"), user, business), asked
+def _ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The ratings of all reviews; lines and orders are joined once."""
+    return durable(views.reviews(spark, d).select("user_id", "business_id", "stars"), "ratings")
+
+
+def _narrow(spark: SparkSession, d: str, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    user = recommend.sent(train.groupBy("user_id").agg(F.avg("stars").alias("user_avg"), F.count("*").cast("double").alias("user_count")), "users")
+    business = recommend.sent(train.groupBy("business_id").agg(F.avg("stars").alias("business_avg"), F.count("*").cast("double").alias("business_count")), "businesses")
+    return recommend.features_inner(train, user, business), recommend.features_inner(views.asked_pairs(spark, d), user, business)
 
 
 @query()
 def gbt_predict(spark, d):
-    return recommend.predict_trees(*_narrow(spark, d), recommend.NARROW)
+    return recommend.predict_trees(*_narrow(spark, d, _ratings(spark, d)), recommend.NARROW)
 
 
 @query()
@@ -398,8 +401,9 @@ def gbt_predict_wide(spark, d):
 
 @query()
 def hybrid_blend(spark, d):
-    neighbours = recommend.predict_item_based(views.reviews(spark, d), views.asked_pairs(spark, d))
-    return recommend.blend(recommend.predict_trees(*_narrow(spark, d), recommend.NARROW, **recommend.BLEND_TREES), neighbours)
+    train = _ratings(spark, d)
+    neighbours = recommend.predict_item_based(train, views.asked_pairs(spark, d))
+    return recommend.blend(recommend.predict_trees(*_narrow(spark, d, train), recommend.NARROW, **recommend.BLEND_TREES), neighbours)
 
 
 # Graphs

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.operators import recommend
+from orebody.plans import registry
+from orebody.sources import views
 
 
 def moved(spark, run):
@@ -43,7 +45,7 @@ def test_item_based_is_the_same_however_the_weights_go(spark, monkeypatch, sent)
     assert len(want) == 93 and {p for u, _, p in want if u in (999, None)} == {3.5}
     monkeypatch.setattr(recommend, "SENT", sent or 1)
     if not sent:
-        monkeypatch.setattr(recommend, "_sent", lambda rows, tag: rows)
+        monkeypatch.setattr(recommend, "sent", lambda rows, tag: rows)
     assert sorted(map(tuple, recommend.predict_item_based(train, asked).collect()), key=key) == want
 
 
@@ -53,3 +55,22 @@ def test_item_based_with_weights_of_zero_only(spark):
     train = spark.createDataFrame(rows, "user_id long, business_id long, stars double")
     asked = spark.createDataFrame([(3, 10)], "user_id long, business_id long")
     assert [tuple(r) for r in recommend.predict_item_based(train, asked).collect()] == [(3, 10, 5.0)]
+
+
+def test_hybrid_joins_lines_and_orders_once(spark, sf, monkeypatch):
+    """sf0.001 has 6000 lines and 1500 orders; the ratings are moved by order once, and by user twice for the neighbours."""
+    fitted = []
+
+    def stand_in(train, asked, *_, **__):
+        fitted.append(train.count())
+        return asked.select("user_id", "business_id", F.lit(3.0).alias("prediction"))
+
+    monkeypatch.setattr(recommend, "predict_trees", stand_in)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = moved(spark, lambda: registry.QUERIES["hybrid_blend"](spark, sf).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert fitted == [views.table(spark, sf, "lineitem").count()]
+    assert rows < 40_000
