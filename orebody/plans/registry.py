@@ -307,7 +307,7 @@ def lsh_pairs(spark, d):
 @query(f"""{views.with_sql("sets")}, {_sizes}, i AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM sets x JOIN sets y ON x.elem = y.elem AND x.id < y.id GROUP BY x.id, y.id)
     SELECT a, b, round(i / (p.n + q.n - i), 6) AS similarity FROM i JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE i / (p.n + q.n - i) >= {JACCARD}""")
 def jaccard_pairs(spark, d):
-    return similarity.jaccard_join(views.token_sets(spark, d), JACCARD)
+    return similarity.jaccard_hashed(views.token_hashes(spark, d), JACCARD)
 
 
 @query(f"{_reviews}, r AS (SELECT DISTINCT business_id, user_id FROM reviews) SELECT p.business_id AS a, q.business_id AS b, count(*) AS n FROM r p JOIN r q ON p.user_id = q.user_id AND p.business_id < q.business_id GROUP BY p.business_id, q.business_id")

@@ -62,6 +62,18 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("elem <> ''").distinct()
 
 
+def token_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, elems: the 64-bit hashes of the same tokens, a row for each document."""
+    tokens = F.transform(F.array_remove(F.array_distinct(F.split(F.lower("text"), " ")), ""), lambda t: F.xxhash64(t))
+    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = documents.select(F.col("doc_id").alias("id"), tokens.alias("elems"))
+    twice = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id")
+    if twice.isEmpty():
+        return rows
+    several = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("elems"))).alias("elems"))
+    return rows.join(twice, "id", "left_anti").unionByName(several)
+
+
 def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user, item: who ordered which part."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

@@ -1,9 +1,12 @@
 """What the joins move between tasks stays near what they read, and results are the same on every way a join may take."""
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import recommend
+from orebody.operators import recommend, similarity
 from orebody.plans import registry
 from orebody.sources import views
 
@@ -74,3 +77,31 @@ def test_hybrid_joins_lines_and_orders_once(spark, sf, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert fitted == [views.table(spark, sf, "lineitem").count()]
     assert rows < 40_000
+
+
+def texts(spark, path, n=400):
+    """Texts of 60 words out of 4000, each with one of 10 common lines of 30; every tenth is a near copy of the one before, ids 7 and 8 share a text."""
+    rng, rows = random.Random(3), []
+    for i in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(60)] + [f"c{i % 10}x{k}" for k in range(30)]
+        words = rows[-1][1].split(" ")[:-2] + ["Changed"] if i % 10 == 9 else words
+        rows.append((i, " ".join(words)))
+    rows += [(n, None), (n + 1, " "), (7, "one more row of an id"), (n + 2, rows[8][1]), (None, rows[8][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    sets = {}
+    for i, text in rows:
+        if i is not None and text is not None:
+            sets.setdefault(i, set()).update(set(text.lower().split(" ")) - {""})
+    return {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) > 0}, sum(map(len, sets.values()))
+
+
+def test_jaccard_pairs_moves_about_the_beginnings_of_sets(spark, tmp_path, monkeypatch):
+    """Half of the elements are joined on, none is dealt otherwise; the ways with and without marks give the same pairs."""
+    monkeypatch.setattr(similarity, "BUCKETS", 64)
+    want, elements = texts(spark, tmp_path)
+    run = lambda: {tuple(r) for r in registry.QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()}
+    got = []
+    assert moved(spark, lambda: got.append(run())) < 1.3 * elements and got == [want] and len(want) > 30
+    for limit, value in (("WORDS", 2), ("MARKED", 0), ("HELD", 0)):
+        monkeypatch.setattr(similarity, limit, value)
+        assert run() == want
