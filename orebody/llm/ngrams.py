@@ -39,7 +39,7 @@ BAND = 2
 #: Second-level partitions of a first-level one; each subset of all but one is a signature.
 SECOND = 3
 #: Entries that a task gathers before it sends them to their buckets; nodes of a run, nodes and shingles of a cluster in
-#: a block; elements a matrix product takes at a time; rows that may be broadcast.
+#: a block; elements a matrix product takes at a time; rows that may be broadcast or, of a graph's edges, collected.
 FLUSH, RUN_BLOCK, NODE_BLOCK, SHINGLE_BLOCK, COLUMNS, SMALL = 1 << 20, 1024, 512, 300_000, 8192, 200_000
 #: Nodes of a large cluster that are compared with all others of it before blocks are.
 PIVOTS = 3
@@ -602,12 +602,34 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
     return edges.unionByName(_compared(left.unionByName(right), docs, length, clashing))
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), ascending, and each one's component: its least node.
+
+    Labels that an edge joins are linked to the least of them, and chains of labels cut short; in two rounds every label
+    that is left has taken in another, so the rounds are as many as the logarithm of the nodes asks for.
+    """
+    node, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = of[: len(a)], of[len(a) :]
+    label = np.arange(len(node))
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+    return node, node[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of each node of an undirected graph's edges (a, b).
 
-    Large-star and small-star steps take turns: each node's larger neighbours, then its smaller ones, are linked to
-    the least of them, until every edge points to its component's least node.
+    At most SMALL edges are joined in the driver: rounds of shuffles cost more than the work. For more, large-star and
+    small-star steps take turns: each node's larger neighbours, then its smaller ones, are linked to the least of them,
+    until every edge points to its component's least node.
     """
+    if links.count() <= SMALL:  # 16 bytes a row
+        few = links.where("a <> b").select("a", "b").toArrow()
+        found = pa.table(_joined(*(x.to_numpy() for x in few.columns)), ["node", "component"])
+        return materialize(links.sparkSession.createDataFrame(found), "components")
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = None
     while True:

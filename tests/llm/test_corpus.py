@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from orebody.llm import mixing, ngrams, rules
+from orebody.plans.durable import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -189,6 +190,20 @@ def test_components_of_a_long_path(spark):
     assert ngrams.components(links.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_small_graph_is_joined_without_rounds(spark, monkeypatch, seed):
+    """The components are those that rounds of shuffles make, and nothing else is written on the way."""
+    rng = random.Random(seed)
+    pairs = [(x, x) if rng.random() < 0.1 else (x, rng.randrange(-200, 200)) for x in (rng.randrange(-200, 200) for _ in range(150))]
+    links = spark.createDataFrame(pairs + [(7 * 10**18, -7 * 10**18), (None, 3)], "a long, b long")
+    before = len(written(spark))
+    got = ngrams.components(links)
+    assert len(written(spark)) == before + 1
+    monkeypatch.setattr(ngrams, "SMALL", 0)
+    rounds = ngrams.components(links)
+    assert got.dtypes == rounds.dtypes and sorted(got.collect()) == sorted(rounds.collect())
+
+
 # Mixing
 
 
