@@ -572,6 +572,9 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
     their size ask for. Its PIVOTS come first: one node goes to every block and is compared with all, so that a group
     of near copies is connected by texts that are sent once. If nodes are left that aren't connected with the
     cluster's largest part, these, in blocks of their own, are compared with all others.
+
+    What is known of a large cluster is broadcast, so that its nodes aren't dealt by cluster: at most a row for each
+    NODE_BLOCK nodes or SHINGLE_BLOCK shingles.
     """
     c = F.col
     blocks = lambda: F.greatest(F.ceil(F.count("*") / NODE_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).cast("int")
@@ -588,15 +591,15 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
         ends = (F.min if k == 0 else F.max)(F.struct("label", "node", "rep"))
         pivot = large.groupBy("component").agg(ends.alias("p"), F.max("blocks").alias("blocks"))
         pivot = pivot.select("component", zero.alias("i"), F.explode(F.sequence(zero, c("blocks") - 1)).alias("j"), c("p.node").alias("node"), F.lit(True).alias("left"), c("p.label").alias("label"), c("p.rep").alias("rep"))
-        others = large.join(pivot.where("j = 0").select("component", c("label").alias("own")), "component").where("label <> own")
+        others = large.join(F.broadcast(pivot.where("j = 0").select("component", c("label").alias("own"))), "component").where("label <> own")
         others = others.select("component", zero.alias("i"), place(c("blocks")).alias("j"), "node", F.lit(False).alias("left"), "label", "rep")
         edges = edges.unionByName(_compared(pivot.unionByName(others), docs, length, clashing))
         large = materialize(_open(_labelled(large.drop("label"), edges), "component", NODE_BLOCK), "large")
     parts = large.groupBy("component", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     main = parts.groupBy("component").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
-    large = large.join(main, "component").withColumn("left", c("label") != c("main"))
+    large = large.join(F.broadcast(main), "component").withColumn("left", c("label") != c("main"))
     rest = large.where("left").groupBy("component").agg(blocks().alias("rest"))
-    large = large.join(rest, "component")
+    large = large.join(F.broadcast(rest), "component")
     left = large.where("left").select("component", place(c("rest")).alias("i"), F.explode(F.sequence(zero, c("blocks") - 1)).alias("j"), "node", "left", "label", "rep")
     right = large.select("component", F.explode(F.sequence(zero, c("rest") - 1)).alias("i"), place(c("blocks")).alias("j"), "node", F.lit(False).alias("left"), "label", "rep")
     return edges.unionByName(_compared(left.unionByName(right), docs, length, clashing))
